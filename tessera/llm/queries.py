@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tessera.llm import pii, secrets
 from tessera.llm.byte_bpe import digests
 from tessera.llm.common import table
 from tessera.llm.exact_dedup import exact_dedup
@@ -19,6 +20,14 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.scan(table(spark, sf_dir, "documents"))
+
+
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents"))
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(table(spark, sf_dir, "documents"))
 
@@ -30,6 +39,8 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_token_store": op1_token_store,
     "op2_packing": op2_packing,
+    "op5_pii": op5_pii,
+    "op7_secrets": op7_secrets,
     "op8_byte_bpe": op8_byte_bpe,
     "op10_exact_dedup": op10_exact_dedup,
 }
