@@ -8,6 +8,7 @@ from tessera.llm import pii, secrets
 from tessera.llm.byte_bpe import digests
 from tessera.llm.common import table
 from tessera.llm.exact_dedup import exact_dedup
+from tessera.llm.ngram_join import near_components
 from tessera.llm.packing import pack
 from tessera.llm.token_store import store_facts
 
@@ -20,6 +21,10 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_components(table(spark, sf_dir, "documents"), k=4, percent=85)
+
+
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.scan(table(spark, sf_dir, "documents"))
 
@@ -39,6 +44,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_token_store": op1_token_store,
     "op2_packing": op2_packing,
+    "op4_ngram_join": op4_ngram_join,
     "op5_pii": op5_pii,
     "op7_secrets": op7_secrets,
     "op8_byte_bpe": op8_byte_bpe,
