@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm import pii, secrets
+from tessera.llm.ann import nearest
 from tessera.llm.byte_bpe import digests
 from tessera.llm.common import table
 from tessera.llm.exact_dedup import exact_dedup
@@ -37,6 +38,10 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(table(spark, sf_dir, "documents"))
 
 
+def op9_collision_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -48,6 +53,7 @@ QUERIES = {
     "op5_pii": op5_pii,
     "op7_secrets": op7_secrets,
     "op8_byte_bpe": op8_byte_bpe,
+    "op9_collision_ann": op9_collision_ann,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
