@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import pii, secrets
+from tessera.llm import pii, secrets, toxicity
 from tessera.llm.ann import nearest
 from tessera.llm.byte_bpe import digests
 from tessera.llm.common import table
@@ -30,6 +30,10 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.scan(table(spark, sf_dir, "documents"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
@@ -51,6 +55,7 @@ QUERIES = {
     "op2_packing": op2_packing,
     "op4_ngram_join": op4_ngram_join,
     "op5_pii": op5_pii,
+    "op6_toxicity": op6_toxicity,
     "op7_secrets": op7_secrets,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_collision_ann": op9_collision_ann,
