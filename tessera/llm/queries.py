@@ -11,6 +11,7 @@ from tessera.llm.common import table
 from tessera.llm.exact_dedup import exact_dedup
 from tessera.llm.ngram_join import near_components
 from tessera.llm.packing import pack
+from tessera.llm.substring_dedup import remove_repeats
 from tessera.llm.token_store import store_facts
 
 
@@ -22,6 +23,10 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op3_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_components(table(spark, sf_dir, "documents"), k=4, percent=85)
 
@@ -53,6 +58,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_token_store": op1_token_store,
     "op2_packing": op2_packing,
+    "op3_repeats": op3_repeats,
     "op4_ngram_join": op4_ngram_join,
     "op5_pii": op5_pii,
     "op6_toxicity": op6_toxicity,
