@@ -218,3 +218,17 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return score(docs, fit(docs, labels))
+
+
+def keep_clean(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all their columns, that the model does not call toxic; a null text counts as empty."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if sent.value is not None and batch.num_rows:
+                scores = sent.value.scores([t or "" for t in batch.column(text_col).to_pylist()])
+                batch = batch.filter(pa.array(scores < 0.5))
+            yield batch
+
+    return docs.mapInArrow(run, docs.schema)
