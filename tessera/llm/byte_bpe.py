@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from xxhash import xxh3_64_intdigest
 
 from tessera.llm.common import as_documents
-from tessera.llm.tokens import Memo, parts
+from tessera.llm.tokens import MEMO_PIECES, MEMO_WORDS, Memo, as_bytes, parts
 
 
 
@@ -99,19 +99,17 @@ class ByteBpe:
         self.keys, self.ids = list(self.ranks), list(self.ranks.values())
         self.table = PerfectHash(self.keys)
         self.bytes_of = dict(zip(self.ids, self.keys, strict=True))
-        self.memo, self.merged = Memo(self.pieces), Memo(lambda piece: merge_bytes(piece, self.ranks))
+        self.single = [as_bytes([i]) for i in self.ids]
+        self.memo, self.merged = Memo(self.word, MEMO_WORDS), Memo(lambda piece: as_bytes(merge_bytes(piece, self.ranks)), MEMO_PIECES)
 
-    def pieces(self, text: str) -> list[int]:
+    def word(self, text: str) -> bytes:
         """The ids of each match of the pattern, one after another."""
-        ids: list[int] = []
-        for match in self.pattern.finditer(text):
-            piece = match.group().encode()
+        out = []
+        for match in self.pattern.findall(text):
+            piece = match.encode()
             number = self.table(piece)
-            if self.keys[number] == piece:
-                ids.append(self.ids[number])
-            else:
-                ids += np.frombuffer(self.merged[piece], "<u4").tolist()
-        return ids
+            out.append(self.single[number] if self.keys[number] == piece else self.merged[piece])
+        return b"".join(out)
 
     def encode(self, text: str) -> np.ndarray:
         """Where single spaces part the words, a match never crosses the place before a space, so words are encoded by

@@ -9,7 +9,7 @@ sorted set, and a probe stops as soon as T is out of reach. Shingles are ordered
 What is asked for is components, so no group of copies is expanded into pairs. Documents with equal sets are one from the
 start. On each short list a few leaders are compared with all other members, then leave the list; links join components,
 and members that share a component need no comparison. Lists with members of different components stay open for
-further rounds with twice the leaders, until none is left: no link between components is lost.
+further rounds with more leaders, until none is left: no link between components is lost.
 
 Defined cases: a null, empty or blank text has no shingles, links with nothing and is its own component; equal sets link;
 a null doc_id counts as its own component (null); rows that repeat a doc_id link to each other if their sets do and carry
@@ -31,7 +31,9 @@ from tessera.llm.components import connected_components
 from tessera.llm.shingles import mix, shingle_sets
 
 #: Frequencies order the shingles; a table of the commonest is enough, since any one order gives the right result.
-COMMON_SHINGLES, LOCALLY_COMMON = 200_000, 4
+COMMON_SHINGLES, LOCALLY_COMMON, COUNTED = 200_000, 4, 6_000_000
+#: Leaders of each list in the first round, and how many times more in each further one.
+LEADERS, GROWTH = 4, 16
 #: A common shingle's list is split in so many parts, whose leaders meet on a list of their own.
 SALTS = 32
 #: Bits of the filter that spares most other texts a second look; fixed, so that it can be sent to every task.
@@ -43,19 +45,35 @@ def _lowered(column: pa.Array) -> list[bytes]:
 
 
 def _locally_common(k: int):
+    """Shingles that several documents of a task's next COUNTED shingles hold, with their number there."""
+
+    def counted(sets: list[np.ndarray]) -> pa.RecordBatch:
+        values, counts = np.unique(np.concatenate(sets) if sets else np.zeros(0, np.uint64), return_counts=True)
+        often = counts >= LOCALLY_COMMON
+        return pa.RecordBatch.from_arrays([pa.array(values[often].view(np.int64)), pa.array(counts[often].astype(np.int64))], ["shingle", "n"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for batch in batches:
-            sets = shingle_sets(_lowered(batch.column("text")), k)
-            values, counts = np.unique(np.concatenate(sets) if sets else np.zeros(0, np.uint64), return_counts=True)
-            often = counts >= LOCALLY_COMMON
-            yield pa.RecordBatch.from_arrays([pa.array(values[often].view(np.int64)), pa.array(counts[often].astype(np.int64))], ["shingle", "n"])
+            for at in range(0, batch.num_rows, 1000):
+                new = shingle_sets(_lowered(batch.column("text").slice(at, 1000)), k)
+                held += new
+                size += sum(map(len, new))
+                if size > COUNTED:
+                    yield counted(held)
+                    held, size = [], 0
+        yield counted(held)
 
     return run
 
 
 def common_shingles(texts: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Up to COMMON_SHINGLES of the most frequent shingles, sorted, and their ranks (0: least frequent)."""
-    counted = texts.select("text").mapInArrow(_locally_common(k), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
+    spark = texts.sparkSession
+    # Small input partitions are read together, so that a task sees enough documents to tell what is frequent.
+    parts = texts.rdd.getNumPartitions()
+    together = texts.select("text").coalesce(max(1, min(parts, max(3 * spark.sparkContext.defaultParallelism, parts // 16))))
+    counted = together.mapInArrow(_locally_common(k), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
     rows = counted.orderBy(F.col("n").desc(), "shingle").limit(COMMON_SHINGLES).select("shingle").toPandas()
     values = rows["shingle"].to_numpy(np.int64).view(np.uint64)
     ranks = np.arange(len(values), 0, -1, dtype=np.int64)
@@ -218,8 +236,8 @@ def near_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     nodes = stage(classes.select("set_key", "node", "members", F.col("p.n_shingles").alias("n"), F.col("p.short").alias("short"), F.col("p.common").alias("common")), "nodes")
     lists = nodes.select("node", "n", F.inline(F.arrays_zip("short", "common"))).select(F.col("short").alias("shingle"), "common", "n", "node", F.col("node").alias("component"))
 
-    first = _round(lists, percent, 1, True)
-    rounds, links, tested, leaders = [first], None, None, 1
+    first = _round(lists, percent, LEADERS, True)
+    rounds, links, tested, leaders = [first], None, None, LEADERS
     # The parts of a common shingle's list are one list from here on; most members of a large one share a component by now.
     opened = first.where("shingle is not null").select("shingle", "n", "node", "component")
     pairs = first.where("a is not null").select("a", "b").distinct()
@@ -243,7 +261,7 @@ def near_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
         drop(*rounds)
         if still.isEmpty():
             break
-        leaders *= 2
+        leaders *= GROWTH
         found = _round(still, percent, leaders, False)
         rounds = [still, found]
         pairs = found.where("a is not null").select("a", "b").distinct()

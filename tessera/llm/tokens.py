@@ -8,15 +8,17 @@ for each text.
 from __future__ import annotations
 
 import os
+import sys
 import unicodedata
+from array import array
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import regex
 
-#: The memo is emptied when it holds so many words; longer words than so many characters are not kept.
-MEMO_WORDS, MEMO_CHARS = 500_000, 100
+#: A memo is emptied when it holds so many words or pieces of words; longer ones than so many characters are not kept.
+MEMO_WORDS, MEMO_PIECES, MEMO_CHARS = 700_000, 900_000, 100
 #: Longer texts are split part by part, so that their words never stand in memory at once.
 PART_CHARS = 4_000_000
 _PART = regex.compile(r"(?<=\S) (?=\S)")
@@ -30,20 +32,24 @@ def default_vocabulary() -> str:
 
 
 class Memo(dict):
-    """word -> its ids as the bytes of 32-bit numbers; ``encode`` gives those of a word that is not kept."""
+    """text -> its ids as the bytes of 32-bit numbers; ``encode`` gives those of a text that is not kept."""
 
-    def __init__(self, encode: Callable[[str], list[int]]):
-        self.encode = encode
+    def __init__(self, encode: Callable[[str | bytes], bytes], limit: int):
+        self.encode, self.limit = encode, limit
 
-    def __missing__(self, word: str) -> bytes:
-        ids = np.array(self.encode(word), "<u4").tobytes()
-        if len(word) <= MEMO_CHARS:
-            if len(self) >= MEMO_WORDS:
+    def __missing__(self, text: str | bytes) -> bytes:
+        ids = self.encode(text)
+        if len(text) <= MEMO_CHARS:
+            if len(self) >= self.limit:
                 self.clear()
-            self[word] = ids
+            self[text] = ids
         return ids
 
 
+def as_bytes(ids: list[int]) -> bytes:
+    return array("I", ids).tobytes() if sys.byteorder == "little" else np.array(ids, "<u4").tobytes()
+
+
 def parts(text: str) -> Iterator[str]:
     """A long text in parts that begin at single spaces between words; each later part keeps that space."""
     at = 0
@@ -75,22 +81,26 @@ class LibraryEncoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.end = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
+        self.end = b"" if end_id is None else as_bytes([end_id])
         self.pattern = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+")
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.letters, self.merge = byte_letters(), self.library.model.tokenize
-        self.memo = Memo(self.word)
+        self.memo, self.merged = Memo(self.word, MEMO_WORDS), Memo(self.piece, MEMO_PIECES)
+
+    def piece(self, piece: str) -> bytes:
+        letters = self.letters
+        return as_bytes([t.id for t in self.merge("".join([letters[b] for b in piece.encode()]))])
 
-    def word(self, word: str) -> list[int]:
+    def word(self, word: str) -> bytes:
         if any(mark in word for mark in self.special):
-            return self.library.encode(word, add_special_tokens=False).ids
+            return as_bytes(self.library.encode(word, add_special_tokens=False).ids)
         # Lowered letter by letter, so a capital sigma never becomes a final one.
         plain = word.lower() if word.isascii() else unicodedata.normalize("NFC", word).replace("Σ", "σ").lower()
-        return [t.id for piece in self.pattern.findall(plain) for t in self.merge("".join([self.letters[b] for b in piece.encode()]))]
+        return b"".join(map(self.merged.__getitem__, self.pattern.findall(plain)))
 
     def __call__(self, text: str) -> np.ndarray:
         if any(c in text for c in "\x1c\x1d\x1e\x1f"):  # white space to Python, not to the library
-            ids = np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+            ids = as_bytes(self.library.encode(text, add_special_tokens=False).ids)
         else:
             ids = b"".join(b"".join(map(self.memo.__getitem__, part.split())) for part in parts(text))
         return np.frombuffer(ids + self.end, "<u4")
