@@ -5,7 +5,7 @@ query is scaled to norm M and gets 0. Each of ``projections`` random directions
 block keeps its vectors' numbers sorted by direction. A query's windows are centred on its own numbers. They widen round
 by round by the factor ``growth`` (virtual rehashing: the arrays stay, only the windows change); each round counts
 only what the windows newly cover. A vector on which ``threshold`` of the windows agree is verified in double precision. A
-query stops in a block when the share ``enough`` of the block's vectors is verified, or when the windows cover the block, in which
+query stops in a block when the share ``enough`` of the block's vectors, 4 k or more, is verified, or when the windows cover the block, in which
 case every vector has been verified.
 
 Blocks: index rows and queries are cut into bounded blocks by a hash of their id, each pair of blocks is one task's work,
@@ -41,8 +41,8 @@ class CollisionIndex:
         self.sorted = np.sort(places, axis=0).T.copy()
         self.top_norm = top_norm
 
-    def search(self, queries: np.ndarray, width: float, growth: float, threshold: int, enough: float) -> list[np.ndarray]:
-        """For each query the vectors that reach the threshold in the last round it needs."""
+    def search(self, queries: np.ndarray, width: float, growth: float, threshold: int, enough: float, least: int) -> list[np.ndarray]:
+        """For each query the vectors that reach the threshold in the last round it needs: ``least`` of them, or all, at least."""
         n, m = len(self.vectors), len(self.directions)
         norms = np.sqrt((queries**2).sum(axis=1, keepdims=True))
         centres = (queries * (self.top_norm / norms)) @ self.directions[:, :-1].T
@@ -60,7 +60,7 @@ class CollisionIndex:
                 counts[q] += np.bincount(np.concatenate(newly), minlength=n).astype(np.uint16)
             low[live], high[live] = left, right
             reached = counts[live] >= threshold
-            enough_now = (reached.sum(axis=1) >= enough * n) | ((low[live] == 0) & (high[live] == n)).all(axis=1)
+            enough_now = (reached.sum(axis=1) >= min(n, max(enough * n, least))) | ((low[live] == 0) & (high[live] == n)).all(axis=1)
             for k in np.flatnonzero(enough_now):
                 found[live[k]] = np.flatnonzero(reached[k])
             live = live[~enough_now]
@@ -100,7 +100,7 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec
             built = CollisionIndex(data, top_norm, projections, seed)
             for at in range(0, len(points), 256):
                 some = points[at : at + 256]
-                for query_id, point, near in zip(asked["vec_id"].to_numpy()[at : at + 256], some, built.search(some, width, growth, round(threshold * projections), enough), strict=True):
+                for query_id, point, near in zip(asked["vec_id"].to_numpy()[at : at + 256], some, built.search(some, width, growth, round(threshold * projections), enough, 4 * k), strict=True):
                     near = near[ids[near] != query_id]
                     scores = (data[near] * point).sum(axis=1)
                     best = np.lexsort((ids[near], -scores))[:k]

@@ -16,6 +16,7 @@ import base64
 import hashlib
 import heapq
 import itertools
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -28,7 +29,7 @@ from xxhash import xxh3_64_intdigest
 from tessera.llm.common import as_documents
 from tessera.llm.tokens import MEMO_PIECES, MEMO_WORDS, Memo, as_bytes, parts
 
-
+_SPACE_AFTER_SPACE = re.compile(r"\s ")
 
 class PerfectHash:
     """Minimal perfect hash of fixed keys: n keys, n slots, one displacement for each bucket of about two keys."""
@@ -113,10 +114,10 @@ class ByteBpe:
 
     def encode(self, text: str) -> np.ndarray:
         """Where single spaces part the words, a match never crosses the place before a space, so words are encoded by
-        themselves, with that space; a text with runs of spaces, or a space at its end, is split by the pattern as a whole."""
+        themselves, with that space; a text with a space after white space, or at its end, is split by the pattern as a whole."""
         found = []
         for part in parts(text):
-            if "  " in part or part.endswith(" "):
+            if _SPACE_AFTER_SPACE.search(part) or part.endswith(" "):
                 found.append(b"".join(map(self.memo.__getitem__, self.pattern.findall(part))))
             else:
                 first, *rest = part.split(" ")
