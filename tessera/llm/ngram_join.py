@@ -3,7 +3,8 @@
 A link needs an overlap of T shingles, so the inverted lists of a document's T - 1 commonest shingles can be left out
 of the merge: a partner is on at least one of its other, short lists (DivideSkip's split into short and long lists).
 The short lists are merged by Spark's sort, keyed by shingle; the long ones are probed by binary search in the partner's
-sorted set, and a probe stops as soon as T is out of reach. Shingles are ordered by their frequency where it is high
+sorted set, and a probe stops as soon as T is out of reach; before that, maps of bits that bound the overlap from above
+spare most pairs the probe. Shingles are ordered by their frequency where it is high
 (counted over all documents), so passages that many documents share stand on long lists.
 
 What is asked for is components, so no group of copies is expanded into pairs. Documents with equal sets are one from the
@@ -94,13 +95,51 @@ def needed(n: int, percent: int) -> int:
     return (percent * n + 99) // 100
 
 
+def overlap_needed(n: int, other: int, percent: int) -> int:
+    """The least overlap of sets of these sizes with 100 |x & y| >= percent |x | y|."""
+    return -(-percent * (n + other) // (100 + percent))
+
+
+def parity_map(shingles: np.ndarray) -> np.ndarray:
+    """A bit for each slot, on where an odd number of shingles falls; as many slots as shingles, in powers of two."""
+    slots = 1 << max(6, (len(shingles) - 1).bit_length())
+    return np.packbits(np.bincount((shingles & np.uint64(slots - 1)).astype(np.int64), minlength=slots) & 1, bitorder="little")
+
+
+def may_link(x: np.ndarray, y: np.ndarray, n: int, other: int, percent: int) -> bool:
+    """False only if the sets differ too much: slots of unlike parity are no more than the shingles that differ."""
+    while len(x) > len(y):
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum()) <= n + other - 2 * overlap_needed(n, other, percent)
+
+
+def _sifted(percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            maps = ([np.frombuffer(m.as_buffer(), np.uint8) for m in batch.column(c)] for c in ("map_a", "map_b"))
+            sizes = (batch.column(c).to_pylist() for c in ("n_a", "n_b"))
+            keep = [may_link(x, y, n, other, percent) for x, y, n, other in zip(*maps, *sizes, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
+def sift(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose parity maps, a thirty-second of a set's size at most, don't rule a link out: the others' sets stay where they are."""
+    maps = nodes.select("node", "n", "map")
+    ends = [maps.withColumnsRenamed({"node": e, "n": f"n_{e}", "map": f"map_{e}"}) for e in "ab"]
+    return pairs.join(ends[1], "b").join(ends[0], "a").select("a", "b", "map_a", "map_b", "n_a", "n_b").mapInArrow(_sifted(percent), "a long, b long")
+
+
 def _profiles(k: int, percent: int, shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         values, ranks = shared.value
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
-                sizes, keys, short, commons = [], [], [], []
+                sizes, keys, short, commons, maps = [], [], [], [], []
                 for shingles in shingle_sets(_lowered(part.column("text")), k):
                     n = len(shingles)
                     sizes.append(n)
@@ -109,8 +148,9 @@ def _profiles(k: int, percent: int, shared):
                     first = np.argsort(rank, kind="stable")[: n - needed(n, percent) + 1 if n else 0]
                     short.append(shingles[first].view(np.int64))
                     commons.append(rank[first] > 0)
+                    maps.append(parity_map(shingles).tobytes() if n else None)
                 lists = pa.array(short, pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), lists, pa.array(commons, pa.list_(pa.bool_()))], ["doc_id", "n_shingles", "set_key", "short", "common"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), lists, pa.array(commons, pa.list_(pa.bool_())), pa.array(maps, pa.binary())], ["doc_id", "n_shingles", "set_key", "short", "common", "map"])
 
     return run
 
@@ -211,8 +251,7 @@ def _verify(percent: int):
             keep = []
             for x, y in zip(batch.column("set_a"), batch.column("set_b"), strict=True):
                 p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                # 100 |x & y| >= percent |x | y|, as a bound on the overlap alone
-                keep.append(reaches(p, q, -(-percent * (len(p) + len(q)) // (100 + percent))))
+                keep.append(reaches(p, q, overlap_needed(len(p), len(q), percent)))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return run
@@ -229,11 +268,11 @@ def near_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     spark = docs.sparkSession
     texts = as_documents(docs, id_col, text_col)
     common = spark.sparkContext.broadcast(common_shingles(texts, k))
-    profiles = stage(texts.mapInArrow(_profiles(k, percent, common), "doc_id long, n_shingles long, set_key binary, short array<long>, common array<boolean>"), "profiles")
+    profiles = stage(texts.mapInArrow(_profiles(k, percent, common), "doc_id long, n_shingles long, set_key binary, short array<long>, common array<boolean>, map binary"), "profiles")
     total = profiles.count()
     # Equal sets are one node, named by its smallest document.
-    classes = profiles.where("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("node"), F.count("*").alias("members"), F.first(F.struct("n_shingles", "short", "common")).alias("p"))
-    nodes = stage(classes.select("set_key", "node", "members", F.col("p.n_shingles").alias("n"), F.col("p.short").alias("short"), F.col("p.common").alias("common")), "nodes")
+    classes = profiles.where("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("node"), F.count("*").alias("members"), F.first(F.struct("n_shingles", "short", "common", "map")).alias("p"))
+    nodes = stage(classes.select("set_key", "node", "members", F.col("p.n_shingles").alias("n"), F.col("p.short").alias("short"), F.col("p.common").alias("common"), F.col("p.map").alias("map")), "nodes")
     lists = nodes.select("node", "n", F.inline(F.arrays_zip("short", "common"))).select(F.col("short").alias("shingle"), "common", "n", "node", F.col("node").alias("component"))
 
     first = _round(lists, percent, LEADERS, True)
@@ -243,7 +282,7 @@ def near_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     pairs = first.where("a is not null").select("a", "b").distinct()
     labels = None
     while True:
-        pairs = stage(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
+        pairs = stage(sift(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), nodes, percent), "pairs")
         if not pairs.isEmpty():
             ends = stage(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct(), "ends")
             sets = texts.where("doc_id is not null").mapInArrow(_set_rows(k, _filter(ends)), "node long, set_key binary, shingles binary")
