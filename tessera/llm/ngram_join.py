@@ -106,13 +106,19 @@ def parity_map(shingles: np.ndarray) -> np.ndarray:
     return np.packbits(np.bincount((shingles & np.uint64(slots - 1)).astype(np.int64), minlength=slots) & 1, bitorder="little")
 
 
-def may_link(x: np.ndarray, y: np.ndarray, n: int, other: int, percent: int) -> bool:
-    """False only if the sets differ too much: slots of unlike parity are no more than the shingles that differ."""
-    while len(x) > len(y):
-        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
-    while len(y) > len(x):
-        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
-    return int(np.bitwise_count(x ^ y).sum()) <= n + other - 2 * overlap_needed(n, other, percent)
+def folded(maps: np.ndarray, size: int) -> np.ndarray:
+    """Maps of fewer slots, which are those of the same sets."""
+    while maps.shape[-1] > size:
+        half = maps.shape[-1] // 2
+        maps = maps[..., :half] ^ maps[..., half:]
+    return maps
+
+
+def may_link(maps: np.ndarray, own: np.ndarray, sizes: np.ndarray, n: int, percent: int) -> np.ndarray:
+    """False only where sets differ too much from one: slots of unlike parity are no more than the shingles that differ."""
+    size = min(maps.shape[-1], len(own))
+    unlike = np.bitwise_count(folded(maps, size) ^ folded(own, size)).sum(axis=-1, dtype=np.int64)
+    return unlike <= sizes + n - 2 * overlap_needed(sizes, n, percent)
 
 
 def _sifted(percent: int):
@@ -120,7 +126,7 @@ def _sifted(percent: int):
         for batch in batches:
             maps = ([np.frombuffer(m.as_buffer(), np.uint8) for m in batch.column(c)] for c in ("map_a", "map_b"))
             sizes = (batch.column(c).to_pylist() for c in ("n_a", "n_b"))
-            keep = [may_link(x, y, n, other, percent) for x, y, n, other in zip(*maps, *sizes, strict=True)]
+            keep = [bool(may_link(x, y, n, other, percent)) for x, y, n, other in zip(*maps, *sizes, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return run
@@ -195,6 +201,55 @@ def _list_pairs(percent: int, leaders: int):
     return run
 
 
+class _Leaders:
+    """Leaders of an open list by the size of their maps, in arrays that double."""
+
+    def __init__(self):
+        self.count, self.by_size = 0, {}
+
+    def add(self, n: int, node: int, component: int, own: np.ndarray) -> None:
+        filled, maps, facts = self.by_size.get(len(own), (0, np.zeros((4, len(own)), np.uint8), np.zeros((4, 3), np.int64)))
+        if filled == len(maps):
+            maps, facts = np.concatenate([maps, np.zeros_like(maps)]), np.concatenate([facts, np.zeros_like(facts)])
+        maps[filled], facts[filled] = own, (n, node, component)
+        self.by_size[len(own)] = filled + 1, maps, facts
+        self.count += 1
+
+    def partners(self, n: int, component: int, own: np.ndarray, percent: int) -> Iterator[int]:
+        for filled, maps, facts in self.by_size.values():
+            sizes, nodes, components = facts[:filled].T
+            some = np.flatnonzero((components != component) & (100 * np.minimum(sizes, n) >= percent * np.maximum(sizes, n)))
+            if len(some):
+                yield from nodes[some[may_link(maps[some], own, sizes[some], n, percent)]].tolist()
+
+
+def _open_pairs(percent: int, leaders: int):
+    """As _list_pairs, for the few lists that stay open: their members bring their maps, so only pairs that may link come out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, key, heads, held = ["a", "b", "shingle", "n", "node", "component"], None, _Leaders(), None
+        for batch in batches:
+            out: list[tuple] = []
+            maps = [np.frombuffer(m.as_buffer(), np.uint8) for m in batch.column("map")]
+            for shingle, n, node, component, own in zip(*(batch.column(c).to_pylist() for c in ("shingle", "n", "node", "component")), maps, strict=True):
+                if shingle != key:
+                    key, heads, held = shingle, _Leaders(), None
+                out += [(min(other, node), max(other, node), None, None, None, None) for other in heads.partners(n, component, own, percent)]
+                if heads.count < leaders:
+                    heads.add(n, node, component, own)
+                elif held is None:
+                    held = (None, None, shingle, n, node, component)
+                else:
+                    if held:
+                        out.append(held)
+                        held = ()
+                    out.append((None, None, shingle, n, node, component))
+            columns = list(zip(*out, strict=True)) if out else [()] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names)
+
+    return run
+
+
 _PAIRS = "a long, b long, shingle long, n long, node long, component long"
 
 
@@ -257,10 +312,14 @@ def _verify(percent: int):
     return run
 
 
-def _round(lists: DataFrame, percent: int, leaders: int, salted: bool) -> DataFrame:
-    part = F.when(F.col("common") & F.lit(salted), F.pmod(F.xxhash64("node"), F.lit(SALTS))).otherwise(F.lit(-1)).cast("int") if salted else F.lit(-1)
+def _first_round(lists: DataFrame, percent: int) -> DataFrame:
+    part = F.when(F.col("common"), F.pmod(F.xxhash64("node"), F.lit(SALTS))).otherwise(F.lit(-1)).cast("int")
     keyed = lists.withColumn("part", part).select("shingle", "part", "n", "node", "component")
-    return stage(keyed.repartition("shingle", "part").sortWithinPartitions("shingle", "part", "component", "n", "node").mapInArrow(_list_pairs(percent, leaders), _PAIRS), "candidates")
+    return stage(keyed.repartition("shingle", "part").sortWithinPartitions("shingle", "part", "component", "n", "node").mapInArrow(_list_pairs(percent, LEADERS), _PAIRS), "candidates")
+
+
+def _further_round(lists: DataFrame, percent: int, leaders: int) -> DataFrame:
+    return stage(lists.repartition("shingle").sortWithinPartitions("shingle", "component", "n", "node").mapInArrow(_open_pairs(percent, leaders), _PAIRS), "candidates")
 
 
 def near_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -275,14 +334,13 @@ def near_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     nodes = stage(classes.select("set_key", "node", "members", F.col("p.n_shingles").alias("n"), F.col("p.short").alias("short"), F.col("p.common").alias("common"), F.col("p.map").alias("map")), "nodes")
     lists = nodes.select("node", "n", F.inline(F.arrays_zip("short", "common"))).select(F.col("short").alias("shingle"), "common", "n", "node", F.col("node").alias("component"))
 
-    first = _round(lists, percent, LEADERS, True)
+    first = _first_round(lists, percent)
     rounds, links, tested, leaders = [first], None, None, LEADERS
     # The parts of a common shingle's list are one list from here on; most members of a large one share a component by now.
     opened = first.where("shingle is not null").select("shingle", "n", "node", "component")
-    pairs = first.where("a is not null").select("a", "b").distinct()
-    labels = None
+    pairs, labels = sift(first.where("a is not null").select("a", "b").distinct(), nodes, percent), None
     while True:
-        pairs = stage(sift(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), nodes, percent), "pairs")
+        pairs = stage(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
         if not pairs.isEmpty():
             ends = stage(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct(), "ends")
             sets = texts.where("doc_id is not null").mapInArrow(_set_rows(k, _filter(ends)), "node long, set_key binary, shingles binary")
@@ -296,12 +354,12 @@ def near_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
         if labels is not None:
             opened = opened.select("shingle", "n", "node").join(labels, "node", "left").select("shingle", "n", "node", F.coalesce("label", "node").alias("component"))
         mixed = opened.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("shingle")
-        still = stage(opened.join(mixed, "shingle", "left_semi"), "open-lists")
+        still = stage(opened.join(mixed, "shingle", "left_semi").join(nodes.select("node", "map"), "node"), "open-lists")
         drop(*rounds)
         if still.isEmpty():
             break
         leaders *= GROWTH
-        found = _round(still, percent, leaders, False)
+        found = _further_round(still, percent, leaders)
         rounds = [still, found]
         pairs = found.where("a is not null").select("a", "b").distinct()
         opened = found.where("shingle is not null").select("shingle", "n", "node", "component")
