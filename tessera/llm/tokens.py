@@ -18,7 +18,7 @@ import numpy as np
 import regex
 
 #: A memo is emptied when it holds so many words or pieces of words; longer ones than so many characters are not kept.
-MEMO_WORDS, MEMO_PIECES, MEMO_CHARS = 700_000, 900_000, 100
+MEMO_WORDS, MEMO_PIECES, MEMO_CHARS = 300_000, 400_000, 100
 #: Longer texts are split part by part, so that their words never stand in memory at once.
 PART_CHARS = 4_000_000
 _PART = regex.compile(r"(?<=\S) (?=\S)")
