@@ -29,7 +29,8 @@ from tessera.llm.gru import Network, sigmoid, spell
 WINDOW, STRIDE = 16, 8
 TOXIC_SAMPLE, CLEAN_SAMPLE, SAMPLE_CHARS = 1500, 3000, 6000
 #: Words whose inputs a task keeps, and windows it runs at once.
-KEPT_WORDS, RUN_WINDOWS = 600_000, 2048
+KEPT_WORDS, RUN_WINDOWS = 300_000, 2048
+SLICE_TEXTS = 250
 _WORD = re.compile(r"[^\W_]+")
 
 
@@ -58,11 +59,19 @@ def _parts(word: str) -> set[str]:
 
 def _evidence(docs: list[list[str]], labels: np.ndarray) -> dict[str, float]:
     """For each word the strongest log-odds, over documents, of itself or one of its ends."""
-    counts = (Counter(), Counter())
+    def held(words: list[str]) -> set[str]:
+        return set().union(*map(_parts, set(words)))
+
+    n_toxic, n_clean = int(labels.sum()), int((labels == 0).sum())
+    toxic, clean = Counter(), Counter()
+    for words, label in zip(docs, labels.tolist(), strict=True):
+        if label:
+            toxic.update(held(words))
+    toxic = {p: a for p, a in toxic.items() if a >= 3}  # the others are not counted, which keeps the driver's memory small
     for words, label in zip(docs, labels.tolist(), strict=True):
-        counts[label].update(set().union(*map(_parts, set(words))) if words else ())
-    n_toxic, n_clean = labels.sum(), len(labels) - labels.sum()
-    odds = {p: np.log((a + 0.5) / (n_toxic + 1)) - np.log((counts[0][p] + 0.5) / (n_clean + 1)) for p, a in counts[1].items() if a >= 3}
+        if not label:
+            clean.update(toxic.keys() & held(words))
+    odds = {p: np.log((a + 0.5) / (n_toxic + 1)) - np.log((clean[p] + 0.5) / (n_clean + 1)) for p, a in toxic.items()}
     return {w: max((odds.get(p, 0.0) for p in _parts(w)), default=0.0) for w in {w for words in docs for w in words}}
 
 
@@ -120,7 +129,9 @@ class Model:
         return out
 
     def scores(self, texts: list[str]) -> np.ndarray:
-        worst = self.worst([tokens(t) for t in texts])
+        # A slice at a time: the words of a whole Arrow batch would take more memory than its texts by far.
+        slices = [self.worst([tokens(t) for t in texts[at : at + SLICE_TEXTS]]) for at in range(0, len(texts), SLICE_TEXTS)]
+        worst = np.concatenate(slices) if slices else np.zeros(0, np.float32)
         return sigmoid(np.clip(self.slope * np.maximum(worst, -30).astype(np.float64) + self.shift, -30, 30))
 
 
