@@ -409,6 +409,18 @@ def priority_merge(spark, sf_dir):
     return R.priority_merge(daily("purchase", 7), daily("view", 3), ["day"])
 
 
+_USER_DAYS = "SELECT user_id, CAST(ts AS DATE) AS day, count(*) AS n, '{0}' AS source FROM events WHERE event_type = '{0}' GROUP BY ALL"
+
+
+@query(f"WITH a AS ({_USER_DAYS.format('purchase')}), b AS ({_USER_DAYS.format('view')}) SELECT * FROM a UNION ALL SELECT * FROM b WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.day IS NOT DISTINCT FROM b.day AND a.user_id IS NOT DISTINCT FROM b.user_id)")
+def priority_merge_users(spark, sf_dir):
+    """Whole sources, whose keys differ: a user's purchases of a day, else the views of that day."""
+    def daily(kind):
+        return _t(spark, sf_dir, "events").where(F.col("event_type") == kind).groupBy("user_id", F.to_date("ts").alias("day")).agg(F.count("*").alias("n")).withColumn("source", F.lit(kind))
+
+    return R.priority_merge(daily("purchase"), daily("view"), ["user_id", "day"])
+
+
 @query("SELECT c_custkey, 'no finished order in 1997' AS reason FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL AND o_orderstatus = 'F' AND year(o_orderdate) = 1997)")
 def anti_join_unavailable(spark, sf_dir):
     c, o = _t(spark, sf_dir, "customer").select("c_custkey"), _t(spark, sf_dir, "orders").where("o_orderstatus = 'F' and year(o_orderdate) = 1997").select("o_custkey")
