@@ -9,7 +9,7 @@ rows whose crc32(doc_id as text) mod 5 is not 0. Scores never see labels, langua
 
 Defined cases: a null or empty text, or one without words, has the score of a text without any sign (the least);
 repeated rows get equal scores; without labelled rows of both kinds every score is 0; an empty table gives an empty result;
-other columns are ignored; texts of any length are scored whole.
+other columns are ignored; texts and letter runs of any length are scored whole.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import as_documents
-from tessera.llm.gru import Network, sigmoid, spell
+from tessera.llm.gru import LONGEST, Network, sigmoid, spell
 
 WINDOW, STRIDE = 16, 8
 TOXIC_SAMPLE, CLEAN_SAMPLE, SAMPLE_CHARS = 1500, 3000, 6000
@@ -35,7 +35,11 @@ _WORD = re.compile(r"[^\W_]+")
 
 
 def tokens(text: str) -> list[str]:
-    return _WORD.findall(text.lower())
+    """Words; one with more letters than ``spell`` reads is cut into overlapping pieces, the last of which ends with it."""
+    words = _WORD.findall(text.lower())
+    if max(map(len, words), default=0) <= 2 * LONGEST:
+        return words
+    return [w[at : at + 2 * LONGEST] for w in words for at in ([*range(0, len(w) - 2 * LONGEST, LONGEST), len(w) - 2 * LONGEST] if len(w) > 2 * LONGEST else (0,))]
 
 
 def window_starts(n: int) -> np.ndarray:
