@@ -2,12 +2,14 @@
 
 Base kinds are assign (a name such as password or token and a value of six or more characters), access (AKIA keys) and
 hex (runs of 24 or more hexadecimal digits). The method adds the kind random: runs of 20 or more characters of an
-encoding's alphabet that hold letters and digits. For each, the encoding is inferred (hex, upper-case base 36,
-lower-case base 36, base 64), and three tests ask whether it could be uniform noise in that alphabet: chi-squared of the
+encoding's alphabet that hold letters or digits. For each, the encoding is inferred (hex, upper-case base 36,
+lower-case base 36, base 64; without digits upper-case, lower-case or all letters, or base 64 without digits; digits alone, or
+digits with signs), and three tests ask whether it could be uniform noise in that alphabet: chi-squared of the
 symbol counts, runs above and below the alphabet's middle, and lag-one serial correlation. The smallest of the three
 p-values, times three, is the candidate's. Within each class of encoding and length (short candidates have little
 power, so they are judged among their like) the Benjamini-Hochberg rule at level ``fdr`` picks those that are not
-noise; the rest are reported. The rule runs on a histogram of p-values, whose size doesn't grow with the data.
+noise; the rest are reported. Where equals signs stand inside a run, what follows the first and each side of 20 or more
+characters are tested, and the run is reported once if any of them is noise. The rule runs on a histogram of p-values, whose size doesn't grow with the data.
 
 Offsets count code points, ends exclusive. Spans are found by marking matches with a private-use character that is
 first replaced in the text by its neighbour, which no pattern tells from it.
@@ -39,6 +41,12 @@ ALPHABETS = {
     "upper": "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ",
     "lower": "0123456789abcdefghijklmnopqrstuvwxyz",
     "base64": "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz+/",
+    "upper letters": "ABCDEFGHIJKLMNOPQRSTUVWXYZ",
+    "lower letters": "abcdefghijklmnopqrstuvwxyz",
+    "letters": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz",
+    "letters and signs": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz+/",
+    "digits": "0123456789",
+    "digits and signs": "0123456789+/",
 }
 
 
@@ -117,9 +125,17 @@ def p_value(token: Column, alphabet: Column) -> Column:
 
 
 def encoding(token: Column) -> Column:
-    """The narrowest alphabet that holds the token, where it has letters and digits; else null."""
-    whole = F.when(F.rlike(token, F.lit("^[0-9a-f]+$")), "hex").when(F.rlike(token, F.lit("^[0-9A-Z]+$")), "upper").when(F.rlike(token, F.lit("^[0-9a-z]+$")), "lower").otherwise("base64")
-    return F.when(F.rlike(token, F.lit("[0-9]")) & F.rlike(token, F.lit("[A-Za-z]")), whole)
+    """The narrowest alphabet that holds the token; null where it has neither letters nor digits.
+
+    Tokens without digits or without letters have classes of their own, so that they don't move the limits of the others.
+    """
+    def holds(pattern: str) -> Column:
+        return F.rlike(token, F.lit(pattern))
+
+    both = F.when(holds("^[0-9a-f]+$"), "hex").when(holds("^[0-9A-Z]+$"), "upper").when(holds("^[0-9a-z]+$"), "lower").otherwise("base64")
+    letters = F.when(holds("^[A-Z]+$"), "upper letters").when(holds("^[a-z]+$"), "lower letters").when(holds("^[A-Za-z]+$"), "letters").otherwise("letters and signs")
+    digits = F.when(holds("^[0-9]+$"), "digits").otherwise("digits and signs")
+    return F.when(holds("[0-9]") & holds("[A-Za-z]"), both).when(holds("[A-Za-z]"), letters).when(holds("[0-9]"), digits)
 
 
 def _alphabet(kind: Column) -> Column:
@@ -145,11 +161,12 @@ def located(text: Column) -> list[Column]:
         return let(encoding(token), lambda code: F.struct(s["start"].alias("start"), s["end"].alias("end"), code.alias("encoding"), F.char_length(token).alias("length"), F.when(code.isNotNull() & tested, p_value(token, _alphabet(code))).alias("p")))
 
     def tested(s: Column) -> Column:
-        # A name, an equals sign or padding around the token is not part of what is tested.
-        bare = F.regexp_replace(F.regexp_replace(s["match"], "^[^=]*=(?=[A-Za-z0-9])|=+$", ""), "[-_=]", "+")
-        return let(bare, lambda token: judged(s, token))
+        # A name, an equals sign or padding around the token is not part of what is tested; each side of one inside is, too.
+        bare = F.regexp_replace(s["match"], "^[^=]*=(?=[A-Za-z0-9])|=+$", "")
+        sides = F.filter(F.array_distinct(F.concat(F.array(bare), F.split(s["match"], "=+"))), lambda side: F.char_length(side) >= MIN_RANDOM)
+        return F.transform(sides, lambda side: let(F.regexp_replace(side, "[-_=]", "+"), lambda token: judged(s, token)))
 
-    candidates = F.filter(F.transform(matches(safe, CANDIDATE, lambda m: F.lit(True)), tested), lambda c: c["p"].isNotNull())
+    candidates = F.filter(F.flatten(F.transform(matches(safe, CANDIDATE, lambda m: F.lit(True)), tested)), lambda c: c["p"].isNotNull())
     return [*columns, candidates.alias("candidates")]
 
 
@@ -161,7 +178,7 @@ def length_class(length: Column) -> Column:
 def noise_limits(found: DataFrame, fdr: float) -> dict[tuple[str, int], int]:
     """For each class the highest histogram bin that Benjamini-Hochberg rejects as noise, -1 for none.
 
-    At most 4 encodings x 10 length classes x 2000 bins are aggregated, whatever the size of the corpus.
+    At most 10 encodings x 10 length classes x 2000 bins are aggregated, whatever the size of the corpus.
     """
     each = found.select(F.explode("candidates").alias("c")).select(F.col("c.encoding").alias("encoding"), length_class(F.col("c.length")).alias("class"), F.least(F.floor(F.col("c.p") * BINS), F.lit(BINS - 1)).cast("int").alias("bin"))
     counts = each.groupBy("encoding", "class", "bin").agg(F.count("*").alias("n"))
@@ -183,7 +200,7 @@ def random_spans(limits: dict[tuple[str, int], int]) -> Column:
         key = F.concat(c["encoding"], F.lit("/"), length_class(c["length"]).cast("string"))
         return F.least(F.floor(c["p"] * BINS), F.lit(BINS - 1)) > F.coalesce(F.try_element_at(table, key), F.lit(-1))
 
-    return _numbered(F.filter("candidates", noise), 3)
+    return F.array_distinct(_numbered(F.filter("candidates", noise), 3))
 
 
 def listed(spans: Column) -> Column:

@@ -1,8 +1,10 @@
 """Every letter of a text is read, every random run is tested, and large open lists are dealt out."""
 
+import random
+
 import pytest
 
-from tessera.llm import toxicity
+from tessera.llm import secrets, toxicity
 from tessera.llm.gru import spell
 
 
@@ -14,3 +16,19 @@ def test_every_letter_of_a_run_is_read(n):
     assert (pieces[0], pieces[-1]) == ("one", "two") and max(map(len, pieces)) <= 28
     whole, _, _ = spell(list(run))
     assert set(whole[0].tolist()) == (set(front.ravel().tolist()) | set(back.ravel().tolist())) - {0}
+
+
+def test_random_letters_digits_and_values_before_an_equals_sign(spark):
+    rng = random.Random(3)
+    lower, mixed = "abcdefghijklmnopqrstuvwxyz", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    kinds = [lower, lower.upper(), mixed, "0123456789", mixed + "0123456789"]
+    def noise(kind):
+        return "".join(rng.choice(kinds[kind]) for _ in range(22 if kind == 3 else 40))
+
+    rows = [(100 * kind + k, f"see {noise(kind)}{'=name' if kind == 4 else ''} end") for kind in range(5) for k in range(50)]
+    rows += [(1000 + k, "read " + "ab" * (15 + k % 9) + " end") for k in range(50)] + [(2000, f"k={noise(2)}=={noise(2)} end")]
+    got = {r["doc_id"]: r["spans"] for r in secrets.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for kind in range(5):
+        assert sum("random" in got[100 * kind + k] for k in range(50)) >= 40, kind
+    assert sum("random" in got[1000 + k] for k in range(50)) <= 3
+    assert got[2000].count("random") <= 1
