@@ -24,7 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import as_documents, attach_group, drop, stage
@@ -37,6 +37,8 @@ COMMON_SHINGLES, LOCALLY_COMMON, COUNTED = 200_000, 4, 6_000_000
 LEADERS, GROWTH = 4, 16
 #: A common shingle's list is split in so many parts, whose leaders meet on a list of their own.
 SALTS = 32
+#: Members of an open list for each part that it is dealt to in further rounds.
+PART_MEMBERS = 64
 #: Bits of the filter that spares most other texts a second look; fixed, so that it can be sent to every task.
 FILTER_BITS = 1 << 24
 
@@ -223,26 +225,25 @@ class _Leaders:
                 yield from nodes[some[may_link(maps[some], own, sizes[some], n, percent)]].tolist()
 
 
-def _open_pairs(percent: int, leaders: int):
-    """As _list_pairs, for the few lists that stay open: their members bring their maps, so only pairs that may link come out."""
+def _open_pairs(percent: int):
+    """As _list_pairs, for the few lists that stay open: their members bring their maps, so only pairs that may link come out.
+
+    A part of a list starts with all leaders of the list; each of them meets those before it in its own part only.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, key, heads, held = ["a", "b", "shingle", "n", "node", "component"], None, _Leaders(), None
+        names, key, heads = ["a", "b", "shingle", "n", "node", "component"], None, _Leaders()
         for batch in batches:
             out: list[tuple] = []
             maps = [np.frombuffer(m.as_buffer(), np.uint8) for m in batch.column("map")]
-            for shingle, n, node, component, own in zip(*(batch.column(c).to_pylist() for c in ("shingle", "n", "node", "component")), maps, strict=True):
-                if shingle != key:
-                    key, heads, held = shingle, _Leaders(), None
-                out += [(min(other, node), max(other, node), None, None, None, None) for other in heads.partners(n, component, own, percent)]
-                if heads.count < leaders:
+            for shingle, part, own_part, leads, n, node, component, own in zip(*(batch.column(c).to_pylist() for c in ("shingle", "part", "own_part", "leads", "n", "node", "component")), maps, strict=True):
+                if (shingle, part) != key:
+                    key, heads = (shingle, part), _Leaders()
+                if part == own_part:
+                    out += [(min(other, node), max(other, node), None, None, None, None) for other in heads.partners(n, component, own, percent)]
+                if leads:
                     heads.add(n, node, component, own)
-                elif held is None:
-                    held = (None, None, shingle, n, node, component)
                 else:
-                    if held:
-                        out.append(held)
-                        held = ()
                     out.append((None, None, shingle, n, node, component))
             columns = list(zip(*out, strict=True)) if out else [()] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names)
@@ -318,8 +319,20 @@ def _first_round(lists: DataFrame, percent: int) -> DataFrame:
     return stage(keyed.repartition("shingle", "part").sortWithinPartitions("shingle", "part", "component", "n", "node").mapInArrow(_list_pairs(percent, LEADERS), _PAIRS), "candidates")
 
 
+def _dealt(lists: DataFrame, leaders: int) -> DataFrame:
+    """Lists in parts, one for each PART_MEMBERS members up to SALTS of them; each part has the leaders of all parts first."""
+    sizes = lists.groupBy("shingle").agg(F.count("*").alias("members"))
+    parts = F.least(F.lit(SALTS), F.ceil(F.col("members") / PART_MEMBERS)).cast("int")
+    salted = lists.join(sizes, "shingle").withColumn("parts", parts).withColumn("own_part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    rank = F.row_number().over(Window.partitionBy("shingle", "own_part").orderBy("component", "n", "node"))
+    ranked = salted.withColumn("leads", rank <= F.greatest(F.lit(1), F.floor(F.lit(leaders) / F.col("parts"))))
+    places = F.when(F.col("leads"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array("own_part"))
+    each = ranked.select("shingle", F.explode(places).alias("part"), "own_part", "leads", "n", "node", "component", "map")
+    return each.repartition("shingle", "part").sortWithinPartitions("shingle", "part", F.col("leads").desc(), "component", "n", "node")
+
+
 def _further_round(lists: DataFrame, percent: int, leaders: int) -> DataFrame:
-    return stage(lists.repartition("shingle").sortWithinPartitions("shingle", "component", "n", "node").mapInArrow(_open_pairs(percent, leaders), _PAIRS), "candidates")
+    return stage(_dealt(lists, leaders).mapInArrow(_open_pairs(percent), _PAIRS), "candidates")
 
 
 def near_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -336,7 +349,7 @@ def near_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
 
     first = _first_round(lists, percent)
     rounds, links, tested, leaders = [first], None, None, LEADERS
-    # The parts of a common shingle's list are one list from here on; most members of a large one share a component by now.
+    # A common shingle's list is dealt anew from here on; most members of a large one share a component by now.
     opened = first.where("shingle is not null").select("shingle", "n", "node", "component")
     pairs, labels = sift(first.where("a is not null").select("a", "b").distinct(), nodes, percent), None
     while True:

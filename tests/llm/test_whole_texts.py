@@ -2,9 +2,11 @@
 
 import random
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from tessera.llm import secrets, toxicity
+from tessera.llm import ngram_join, secrets, toxicity
 from tessera.llm.gru import spell
 
 
@@ -32,3 +34,18 @@ def test_random_letters_digits_and_values_before_an_equals_sign(spark):
         assert sum("random" in got[100 * kind + k] for k in range(50)) >= 40, kind
     assert sum("random" in got[1000 + k] for k in range(50)) <= 3
     assert got[2000].count("random") <= 1
+
+
+def test_an_open_list_is_dealt_over_parts_and_loses_no_pair(spark):
+    nodes = [(7, 64, k, k, bytes(ngram_join.parity_map(np.arange(64, dtype=np.uint64)))) for k in range(300)]
+    lists = spark.createDataFrame(nodes, "shingle long, n long, node long, component long, map binary")
+    found, met, leaders = lists, set(), 64
+    parts = ngram_join._dealt(lists, leaders).groupBy("part").agg(F.count("*").alias("rows"), F.sum(F.col("leads").cast("int")).alias("heads")).collect()
+    assert len(parts) == 5 and {r["heads"] for r in parts} == {60} and max(r["rows"] for r in parts) < 180
+    while not found.isEmpty():
+        out = ngram_join._dealt(found, leaders).mapInArrow(ngram_join._open_pairs(80), ngram_join._PAIRS).cache()
+        pairs = [(r["a"], r["b"]) for r in out.where("a is not null").collect()]
+        assert len(pairs) == len(set(pairs)) and not met & set(pairs)
+        met |= set(pairs)
+        found, leaders = out.where("shingle is not null").select("shingle", "n", "node", "component").join(lists.select("node", "map"), "node"), 16 * leaders
+    assert len(met) == 300 * 299 // 2
