@@ -1,27 +1,38 @@
-"""Token ids of whole texts, each distinct word encoded once.
+"""Token ids of whole texts, each distinct piece of a word encoded once.
 
-No token of these vocabularies crosses the white space between two words, so a text's ids are its words' ids in order
-and an encoder needs to see a word only once; a bounded memo keeps what it has seen. The rest is one split and one join
-for each text.
+The vocabulary's own rules (NFC, lower case, its pattern) cut a text into pieces that its merges never cross, so a text's
+ids are its pieces' ids in order and an encoder needs to see a piece only once; a bounded memo keeps what it has seen.
+
+The rules are applied here only to characters on which every version of the Unicode tables agrees (``KNOWN``); a word with
+any other character, or with a special mark, goes through the library as a whole.
 """
 
 from __future__ import annotations
 
 import os
+import re
 import sys
-import unicodedata
 from array import array
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
-import regex
 
 #: A memo is emptied when it holds so many words or pieces of words; longer ones than so many characters are not kept.
 MEMO_WORDS, MEMO_PIECES, MEMO_CHARS = 300_000, 400_000, 100
 #: Longer texts are split part by part, so that their words never stand in memory at once.
 PART_CHARS = 4_000_000
-_PART = regex.compile(r"(?<=\S) (?=\S)")
+_PART = re.compile(r"(?<=\S) (?=\S)")
+
+#: Classes of characters that keep their meaning in all Unicode versions and are their own normal form. Letters: Latin
+#: (without the dotted capital I, whose lower case is two characters), Greek and Cyrillic basics (without the capital
+#: sigma, whose lower case depends on its place), kana, common ideographs, Hangul syllables.
+LETTERS = "A-Za-zªµºÀ-ÖØ-öø-įı-žΑ-ΡΤ-Ωα-ωА-яёЁあ-んア-ヺ一-龥가-힣"
+DIGITS = "0-9²³¹¼-¾"
+SIGNS = "\x21-\x2f\x3a-\x40\x5b-\x60\x7b-\x7e\xa1-\xa9\xab-\xac\xae-\xb1\xb4\xb6-\xb8\xbb\xbf×÷‐-‧‰-⁅、-。「-】"
+SPACES = "\x20\t\n\r\x0b\x0c\x85\xa0　"
+_KNOWN_TEXT = re.compile(f"[{LETTERS}{DIGITS}{SIGNS}{SPACES}]*")
+_PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{DIGITS}]|[{SIGNS}]+")
 
 
 def default_vocabulary() -> str:
@@ -70,11 +81,7 @@ def byte_letters() -> list[str]:
 
 
 class LibraryEncoder:
-    """``text -> ids`` by the tokenizers library with add_special_tokens=False; ``end_id`` is appended where given.
-
-    The library's model merges each new piece; normalisation and splitting are the vocabulary file's own rules (NFC,
-    lower case, its pattern), applied here to one word. Words with a special mark go through the whole library.
-    """
+    """``text -> ids`` by the tokenizers library with add_special_tokens=False; ``end_id`` is appended where given."""
 
     def __init__(self, path: str, end_id: int | None = None):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -82,27 +89,30 @@ class LibraryEncoder:
 
         self.library = Tokenizer.from_file(path)
         self.end = b"" if end_id is None else as_bytes([end_id])
-        self.pattern = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+")
-        self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.letters, self.merge = byte_letters(), self.library.model.tokenize
-        self.memo, self.merged = Memo(self.word, MEMO_WORDS), Memo(self.piece, MEMO_PIECES)
+        special = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        self.special = re.compile("|".join(map(re.escape, special)) or "(?!)")
+        self.letters, self.merge = dict(enumerate(byte_letters())), self.library.model.tokenize
+        self.pieces, self.words = Memo(self.piece, MEMO_PIECES), Memo(self.word, MEMO_WORDS)
+
+    def whole(self, text: str) -> bytes:
+        return as_bytes(self.library.encode(text, add_special_tokens=False).ids)
 
     def piece(self, piece: str) -> bytes:
-        letters = self.letters
-        return as_bytes([t.id for t in self.merge("".join([letters[b] for b in piece.encode()]))])
+        return as_bytes([t.id for t in self.merge(piece.encode().decode("latin-1").translate(self.letters))])
+
+    def known(self, text: str) -> bytes:
+        return b"".join(map(self.pieces.__getitem__, _PIECES.findall(text.lower())))
 
     def word(self, word: str) -> bytes:
-        if any(mark in word for mark in self.special):
-            return as_bytes(self.library.encode(word, add_special_tokens=False).ids)
-        # Lowered letter by letter, so a capital sigma never becomes a final one.
-        plain = word.lower() if word.isascii() else unicodedata.normalize("NFC", word).replace("Σ", "σ").lower()
-        return b"".join(map(self.merged.__getitem__, self.pattern.findall(plain)))
+        return self.known(word) if _KNOWN_TEXT.fullmatch(word) and not self.special.search(word) else self.whole(word)
 
     def __call__(self, text: str) -> np.ndarray:
-        if any(c in text for c in "\x1c\x1d\x1e\x1f"):  # white space to Python, not to the library
-            ids = as_bytes(self.library.encode(text, add_special_tokens=False).ids)
+        if _KNOWN_TEXT.fullmatch(text) and not self.special.search(text):
+            ids = self.known(text) if len(text) <= PART_CHARS else b"".join(map(self.known, parts(text)))
+        elif any(c in text for c in "\x1c\x1d\x1e\x1f"):  # white space to Python, not to the library
+            ids = self.whole(text)
         else:
-            ids = b"".join(b"".join(map(self.memo.__getitem__, part.split())) for part in parts(text))
+            ids = b"".join(b"".join(map(self.words.__getitem__, part.split())) for part in parts(text))
         return np.frombuffer(ids + self.end, "<u4")
 
 

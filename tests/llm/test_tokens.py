@@ -116,3 +116,14 @@ def test_perfect_hash_is_minimal():
 
 def test_empty(empty):
     assert token_store.store_facts(empty).count() == pack(empty).count() == byte_bpe.digests(empty).count() == 0
+
+
+def test_every_code_point():
+    """Each code point inside, before and after words, against the library; blocks that differ nowhere are compared at once."""
+    from tessera.llm.tokens import LibraryEncoder
+
+    encode = LibraryEncoder(P.path("word_bpe_49k.json"))
+    every = [chr(c) for c in range(1, 0x110000) if not 0xD800 <= c < 0xE000]
+    for at in range(0, len(every), 256):
+        text = " ".join(f"a{c}b {c}1 {c}" for c in every[at : at + 256])
+        assert encode(text).tolist() == encode.library.encode(text, add_special_tokens=False).ids
