@@ -1,10 +1,11 @@
 """N-gram Jaccard join by T-occurrence search, and the components of its links.
 
-A link needs an overlap of T shingles, so the inverted lists of a document's T - 1 commonest shingles can be left out
-of the merge: a partner is on at least one of its other, short lists (DivideSkip's split into short and long lists).
-The short lists are merged by Spark's sort, keyed by shingle; the long ones are probed by binary search in the partner's
-sorted set, and a probe stops as soon as T is out of reach; before that, maps of bits that bound the overlap from above
-spare most pairs the probe. Shingles are ordered by their frequency where it is high
+A link needs an overlap of T shingles, so the inverted lists of a document's T - 1 commonest shingles are its long lists:
+a partner is on at least one of its other, short lists (DivideSkip's split). Routing: the short lists are sorted by
+shingle over all tasks, and name the candidates of each query; maps of bits that bound the overlap from above spare
+most of them the rest. Search: a query and the sets of its candidates meet, part by part; a heap merges the candidates'
+inverted lists for the short shingles and counts occurrences, the long ones are probed by binary search while T is in reach,
+and what reaches the overlap its size requires is a link. Shingles are ordered by their frequency where it is high
 (counted over all documents), so passages that many documents share stand on long lists.
 
 What is asked for is components, so no group of copies is expanded into pairs. Documents with equal sets are one from the
@@ -19,7 +20,9 @@ their own n_shingles; an empty table gives an empty result; other columns are ig
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import as_documents, attach_group, drop, stage
+from tessera.llm.common import as_documents, attach_group, drop, frugal, stage
 from tessera.llm.components import connected_components
 from tessera.llm.shingles import mix, shingle_sets
 
@@ -39,6 +42,8 @@ LEADERS, GROWTH = 4, 16
 SALTS = 32
 #: Members of an open list for each part that it is dealt to in further rounds.
 PART_MEMBERS = 64
+#: Candidates that one task searches for one query at a time.
+PART_CANDIDATES = 256
 #: Bits of the filter that spares most other texts a second look; fixed, so that it can be sent to every task.
 FILTER_BITS = 1 << 24
 
@@ -76,7 +81,7 @@ def common_shingles(texts: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
     # Small input partitions are read together, so that a task sees enough documents to tell what is frequent.
     parts = texts.rdd.getNumPartitions()
     together = texts.select("text").coalesce(max(1, min(parts, max(3 * spark.sparkContext.defaultParallelism, parts // 16))))
-    counted = together.mapInArrow(_locally_common(k), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
+    counted = together.mapInArrow(frugal(_locally_common(k)), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
     rows = counted.orderBy(F.col("n").desc(), "shingle").limit(COMMON_SHINGLES).select("shingle").toPandas()
     values = rows["shingle"].to_numpy(np.int64).view(np.uint64)
     ranks = np.arange(len(values), 0, -1, dtype=np.int64)
@@ -283,40 +288,107 @@ def _filter(nodes: DataFrame):
     return nodes.sparkSession.sparkContext.broadcast(table)
 
 
-def reaches(query: np.ndarray, other: np.ndarray, need: int) -> bool:
-    """Whether two sorted sets share ``need`` values: long lists probed by binary search, part by part while in reach."""
-    if len(query) > len(other):
-        query, other = other, query
-    found, left, step = 0, len(query), max(64, len(query) // 8)
-    for at in range(0, len(query), step):
-        part = query[at : at + step]
+def probed(long: np.ndarray, other: np.ndarray, found: int, need: int) -> bool:
+    """Whether ``found`` and the long lists that hold ``other`` make ``need``: binary probes, part by part while in reach."""
+    left, step = len(long), max(64, len(long) // 8)
+    for at in range(0, len(long), step):
+        if found >= need or found + left < need:
+            break
+        part = long[at : at + step]
         places = np.searchsorted(other, part)
         places[places == len(other)] = 0
         found += int((other[places] == part).sum())
         left -= len(part)
-        if found >= need:
-            return True
-        if found + left < need:
-            return False
     return found >= need
 
 
-def _verify(percent: int):
+def divide_skip(short: np.ndarray, long: np.ndarray, sets: list[np.ndarray], percent: int) -> list[int]:
+    """Which of the sets overlap as required with the one whose shingles are ``short`` and ``long``.
+
+    The inverted lists of the short side are merged by a heap, which counts each set's occurrences; a set that the long lists
+    could still bring to its required overlap is looked up in them.
+    """
+    lists: list[list[int]] = [[] for _ in short]
+    for i, other in enumerate(sets):
+        places = np.searchsorted(other, short)
+        places[places == len(other)] = 0
+        for j in np.flatnonzero(other[places] == short).tolist():
+            lists[j].append(i)
+    out = []
+    for i, same in groupby(heapq.merge(*filter(None, lists))):
+        need = overlap_needed(len(short) + len(long), len(sets[i]), percent)
+        count = sum(1 for _ in same)
+        if count + len(long) >= need and probed(long, sets[i], count, need):
+            out.append(i)
+    return out
+
+
+def _search(percent: int):
+    """Reads rows sorted by (a, part): first the query ``a`` with its short list shingles, then its candidates ``b``.
+
+    An id that several rows with different sets carry has as many queries; a link of any of them is one of the id.
+    """
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        query, asked = None, []
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("set_a"), batch.column("set_b"), strict=True):
-                p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                keep.append(reaches(p, q, overlap_needed(len(p), len(q), percent)))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            found: list[tuple[int, int]] = []
+            nodes, sets = [], []
+
+            def search():
+                hits = sorted({i for short, long in asked for i in divide_skip(short, long, sets, percent)}) if sets else []
+                found.extend((query, nodes[i]) for i in hits)
+
+            for a, b, own, first in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), batch.column("shingles"), batch.column("short"), strict=True):
+                values = np.frombuffer(own.as_buffer(), np.uint64)
+                if b is None:
+                    if a != query or sets:
+                        search()
+                        query, asked, nodes, sets = a, [], [], []
+                    short = np.sort(np.array(first.values.to_numpy(zero_copy_only=False)).view(np.uint64))
+                    asked.append((short, np.setdiff1d(values, short, assume_unique=True)))
+                else:
+                    nodes.append(b)
+                    sets.append(values)
+            search()
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], ["a", "b"])
 
     return run
 
 
+def verified(pairs: DataFrame, sets: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """The pairs that link. The candidates of a query are dealt in parts of PART_CANDIDATES; each part gets the query's set."""
+    parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / PART_CANDIDATES).cast("int").alias("parts"))
+    queries = sets.join(nodes.select("node", "set_key", "short"), ["node", "set_key"]).withColumnRenamed("node", "a").join(parts, "a")
+    asked = queries.select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(None).cast("long").alias("b"), "shingles", "short")
+    part = F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part")
+    found = pairs.join(sets.select(F.col("node").alias("b"), "shingles"), "b").join(parts, "a").select("a", part, "b", "shingles", F.lit(None).cast("array<bigint>").alias("short"))
+    dealt = asked.unionByName(found).repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
+    return dealt.select("a", "b", "shingles", "short").mapInArrow(frugal(_search(percent)), "a long, b long")
+
+
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """As many of a partition's links as join its nodes: no component falls apart, and a group has few links more than members."""
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (up := parent.setdefault(x, x)) != x:
+            parent[x] = x = parent.setdefault(up, up)
+        return x
+
+    for batch in batches:
+        keep = []
+        for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
+            x, y = root(a), root(b)
+            keep.append(x != y)
+            parent[max(x, y)] = min(x, y)
+        yield batch.filter(pa.array(keep, pa.bool_()))
+
+
 def _first_round(lists: DataFrame, percent: int) -> DataFrame:
     part = F.when(F.col("common"), F.pmod(F.xxhash64("node"), F.lit(SALTS))).otherwise(F.lit(-1)).cast("int")
     keyed = lists.withColumn("part", part).select("shingle", "part", "n", "node", "component")
-    return stage(keyed.repartition("shingle", "part").sortWithinPartitions("shingle", "part", "component", "n", "node").mapInArrow(_list_pairs(percent, LEADERS), _PAIRS), "candidates")
+    return stage(keyed.repartition("shingle", "part").sortWithinPartitions("shingle", "part", "component", "n", "node").mapInArrow(frugal(_list_pairs(percent, LEADERS)), _PAIRS), "candidates")
 
 
 def _dealt(lists: DataFrame, leaders: int) -> DataFrame:
@@ -332,7 +404,7 @@ def _dealt(lists: DataFrame, leaders: int) -> DataFrame:
 
 
 def _further_round(lists: DataFrame, percent: int, leaders: int) -> DataFrame:
-    return stage(_dealt(lists, leaders).mapInArrow(_open_pairs(percent), _PAIRS), "candidates")
+    return stage(_dealt(lists, leaders).mapInArrow(frugal(_open_pairs(percent)), _PAIRS), "candidates")
 
 
 def near_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -340,7 +412,7 @@ def near_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     spark = docs.sparkSession
     texts = as_documents(docs, id_col, text_col)
     common = spark.sparkContext.broadcast(common_shingles(texts, k))
-    profiles = stage(texts.mapInArrow(_profiles(k, percent, common), "doc_id long, n_shingles long, set_key binary, short array<long>, common array<boolean>, map binary"), "profiles")
+    profiles = stage(texts.mapInArrow(frugal(_profiles(k, percent, common)), "doc_id long, n_shingles long, set_key binary, short array<long>, common array<boolean>, map binary"), "profiles")
     total = profiles.count()
     # Equal sets are one node, named by its smallest document.
     classes = profiles.where("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("node"), F.count("*").alias("members"), F.first(F.struct("n_shingles", "short", "common", "map")).alias("p"))
@@ -356,10 +428,9 @@ def near_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
         pairs = stage(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
         if not pairs.isEmpty():
             ends = stage(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct(), "ends")
-            sets = texts.where("doc_id is not null").mapInArrow(_set_rows(k, _filter(ends)), "node long, set_key binary, shingles binary")
+            sets = texts.where("doc_id is not null").mapInArrow(frugal(_set_rows(k, _filter(ends))), "node long, set_key binary, shingles binary")
             sets = stage(sets.join(nodes.select("node", "set_key"), ["node", "set_key"], "left_semi").join(ends, "node", "left_semi").dropDuplicates(["node", "set_key"]), "sets")
-            both = pairs.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("set_b")), "b").join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("set_a")), "a")
-            new = stage(both.select("a", "b", "set_a", "set_b").mapInArrow(_verify(percent), "a long, b long"), "links")
+            new = stage(verified(pairs, sets, nodes, percent).repartition("b").mapInArrow(_forest, "a long, b long"), "links")
             drop(sets, ends)
             links = new if links is None else links.unionByName(new)
             tested = pairs if tested is None else tested.unionByName(pairs)

@@ -4,12 +4,19 @@ Base kinds are assign (a name such as password or token and a value of six or mo
 hex (runs of 24 or more hexadecimal digits). The method adds the kind random: runs of 20 or more characters of an
 encoding's alphabet that hold letters or digits. For each, the encoding is inferred (hex, upper-case base 36,
 lower-case base 36, base 64; without digits upper-case, lower-case or all letters, or base 64 without digits; digits alone, or
-digits with signs), and three tests ask whether it could be uniform noise in that alphabet: chi-squared of the
-symbol counts, runs above and below the alphabet's middle, and lag-one serial correlation. The smallest of the three
-p-values, times three, is the candidate's. Within each class of encoding and length (short candidates have little
-power, so they are judged among their like) the Benjamini-Hochberg rule at level ``fdr`` picks those that are not
-noise; the rest are reported. Where equals signs stand inside a run, what follows the first and each side of 20 or more
-characters are tested, and the run is reported once if any of them is noise. The rule runs on a histogram of p-values, whose size doesn't grow with the data.
+digits with signs), and three kinds of tests are made twice: alphabet uniformity by squared symbol counts, runs, and
+lag-one serial correlation.
+
+* Against uniform noise in that alphabet: what they reject at level ``NOISE_LEVEL`` is no random string.
+* Against ordinary text: written words have favoured letters, few changes between letters and digits or from small to
+  capital letters, and vowels that alternate with consonants. The three one-sided p-values are combined by Fisher's
+  rule, and this is the null hypothesis that false discovery counts: within each class of encoding and length (short
+  candidates have little power, so they are judged among their like) the Benjamini-Hochberg rule at level ``fdr`` picks
+  those that are not ordinary text. Of them the ones that could be noise are reported.
+
+Where equals signs stand inside a run, what follows the first and each side of 20 or more characters are tested, and the
+run is reported once if any of them is found. The rule runs on a histogram of logarithms of p-values, whose size doesn't
+grow with the data. Work on a text grows with its length to the power 1.5 at most, however many matches it holds.
 
 Offsets count code points, ends exclusive. Spans are found by marking matches with a private-use character that is
 first replaced in the text by its neighbour, which no pattern tells from it.
@@ -20,7 +27,7 @@ table gives an empty result; other columns are ignored (the operator reads and r
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import as_documents, stage
@@ -33,7 +40,13 @@ HEX = r"[0-9a-f]{24,}"
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 KINDS = ("assign", "access", "hex", "random")
 MARK, NEIGHBOUR = "", ""
-BINS, MIN_RANDOM = 2000, 20
+#: Bins of p-values for each power of ten, and their number.
+BINS_A_POWER, BINS, MIN_RANDOM, NOISE_LEVEL = 50, 1500, 20, 1e-4
+#: No p-value above ``fdr`` is a discovery, so candidates above this are not put to the tests against noise.
+WORTH = 0.25
+#: Ordinary text: the chance that two, and three, of its letters (case folded) or digits are the same; the share of places where a
+#: letter and a digit meet or a capital follows a small letter; the serial correlation of vowels, with room to spare.
+SAME_LETTERS, SAME_DIGITS, CHANGES, VOWELS_SERIAL = (0.065, 0.0055), (0.12, 0.018), 0.2, -0.25
 
 SPAN = "array<struct<start:bigint,kind:int,end:bigint>>"
 ALPHABETS = {
@@ -55,16 +68,48 @@ def pieces(text: Column, pattern: str) -> Column:
     return F.split(F.regexp_replace(text, F.lit(pattern), F.lit(f"{MARK}$0{MARK}")), MARK, -1)
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once: Column expressions have no variables but a lambda's."""
+    return F.transform(F.array(value), body)[0]
+
+
+def blocks(values: Column) -> Column:
+    """An array cut into about as many slices as each of them has elements."""
+    size = F.ceil(F.sqrt(F.size(values).cast("double"))).cast("int")
+    return F.when(F.size(values) > 0, let(size, lambda b: F.transform(F.sequence(F.lit(0), ((F.size(values) - 1) / b).cast("int")), lambda k: F.slice(values, k * b + 1, b)))).otherwise(F.array())
+
+
+def _before(values: Column, join) -> Column:
+    """For each element of a short array what ``join`` makes of those before it, from 0."""
+    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<bigint>").alias("out"))
+    return F.aggregate(values, start, lambda acc, x: F.struct(join(acc["at"], x).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")), lambda acc: acc["out"])
+
+
+def starts(lengths: Column) -> Column:
+    """Running sums of lengths, each without its own: inside slices, and over the slices' totals."""
+    def add(a: Column, x: Column) -> Column:
+        return a + x
+
+    def sums(cut: Column) -> Column:
+        totals = F.transform(cut, lambda part: F.aggregate(part, F.lit(0).cast("long"), add))
+        return F.flatten(F.zip_with(_before(totals, add), F.transform(cut, lambda part: _before(part, add)), lambda base, inner: F.transform(inner, lambda x: base + x)))
+
+    return let(blocks(lengths), sums)
+
+
+MATCHES = "array<struct<start:bigint,end:bigint,match:string>>"
+
+
 def matches(text: Column, pattern: str, keep) -> Column:
     """array of (start, end, match) for the matches that ``keep`` accepts; texts without one are not cut."""
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit(False).alias("hit"), F.array().cast("array<struct<start:bigint,end:bigint,match:string>>").alias("out"))
 
-    def step(acc: Column, piece: Column) -> Column:
-        end = acc["at"] + F.char_length(piece).cast("long")
-        found = F.array(F.struct(acc["at"].alias("start"), end.alias("end"), piece.alias("match")))
-        return F.struct(end.alias("at"), (~acc["hit"]).alias("hit"), F.when(acc["hit"] & keep(piece), F.concat(acc["out"], found)).otherwise(acc["out"]).alias("out"))
+    def found(x: Column) -> Column:
+        places = F.sequence(F.lit(1), F.size(x["pieces"]) - 2, F.lit(2))
+        each = F.transform(places, lambda k: F.struct(F.get(x["starts"], k).alias("start"), F.get(x["starts"], k + 1).alias("end"), F.get(x["pieces"], k).alias("match")))
+        return F.filter(each, lambda m: keep(m["match"]))
 
-    return F.when(F.rlike(text, F.lit(pattern)), F.aggregate(pieces(text, pattern), start, step, lambda acc: acc["out"])).otherwise(F.array().cast("array<struct<start:bigint,end:bigint,match:string>>"))
+    cut = let(pieces(text, pattern), lambda p: F.struct(p.alias("pieces"), starts(F.transform(p, lambda x: F.char_length(x).cast("long"))).alias("starts")))
+    return F.when(F.rlike(text, F.lit(pattern)), let(cut, found)).otherwise(F.array()).cast(MATCHES)
 
 
 def normal_tail(z: Column) -> Column:
@@ -75,17 +120,17 @@ def normal_tail(z: Column) -> Column:
     return F.when(z >= 0, tail).otherwise(1 - tail)
 
 
-def let(value: Column, body) -> Column:
-    """``body`` of a value that is computed once: Column expressions have no variables but a lambda's."""
-    return F.transform(F.array(value), body)[0]
-
-
 def _total(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
 
 
+def _squares(values: Column, n: Column) -> Column:
+    """Sum of the squared numbers of equal values."""
+    return F.aggregate(F.array_distinct(values), F.lit(0.0), lambda a, d: a + let(n - F.size(F.array_remove(values, d)), lambda c: c * c))
+
+
 def _chi_squared(codes: Column, n: Column, k: Column) -> Column:
-    squares = _total(F.transform(F.array_distinct(codes), lambda d: F.pow(F.size(F.filter(codes, lambda c: c == d)).cast("double"), F.lit(2.0))))
+    squares = _squares(codes, n)
     spread = 2 / (9 * (k - 1))
     return let((F.pow(F.greatest(squares * k / n - n, F.lit(0.0)) / (k - 1), F.lit(1 / 3)) - (1 - spread)) / F.sqrt(spread), normal_tail)
 
@@ -124,6 +169,54 @@ def p_value(token: Column, alphabet: Column) -> Column:
     return let(F.struct(codes.alias("codes"), F.char_length(token).cast("double").alias("n"), F.char_length(alphabet).cast("double").alias("k")), battery)
 
 
+def _small(x: Column) -> Column:
+    return F.greatest(F.lit(1e-30), F.least(F.lit(1.0), x))
+
+
+def _lower_tail(count: Column, mean: Column, variance: Column) -> Column:
+    return F.when(variance > 0, let((mean - count) / F.sqrt(variance), normal_tail)).otherwise(F.lit(1.0))
+
+
+def ordinary_p(token: Column) -> Column:
+    """Fisher's combination of three one-sided tests of the hypothesis that the token is ordinary text."""
+    same2, same3 = ([F.when(F.rlike(token, F.lit("[A-Za-z]")), F.lit(SAME_LETTERS[k])).otherwise(F.lit(SAME_DIGITS[k])) for k in (0, 1)])
+
+    def flat(chars: Column, n: Column) -> Column:
+        """Fewer equal pairs of characters than favoured letters would make."""
+        pairs = _squares(chars, n) - n
+        variance = 4 * n * (n - 1) * (n - 2) * (same3 - same2 * same2) + 2 * n * (n - 1) * (same2 - same2 * same2)
+        return _lower_tail(pairs, n * (n - 1) * same2, variance)
+
+    def neighbours(values: Column, join) -> Column:
+        return F.zip_with(F.slice(values, F.lit(1), F.size(values) - 1), F.slice(values, F.lit(2), F.size(values) - 1), join)
+
+    def restless(kinds: Column, n: Column) -> Column:
+        """More runs of like characters than words have. Kinds: 0 signs, 1 digits, 2 small letters, 3 capitals."""
+        changes = _total(neighbours(kinds, lambda a, b: F.when(((a == 1) & (b > 1)) | ((a > 1) & (b == 1)) | ((a == 2) & (b == 3)), F.lit(1.0)).otherwise(F.lit(0.0))))
+        return _lower_tail((n - 1) * 2 * CHANGES - changes + 0.5, (n - 1) * CHANGES, (n - 1) * CHANGES * (1 - CHANGES))
+
+    def serial(vowels: Column, n: Column) -> Column:
+        """Vowels that don't alternate with other letters."""
+        def test(d: Column) -> Column:
+            power, lagged = _total(F.transform(d, lambda x: x * x)), _total(neighbours(d, lambda a, b: a * b))
+            return let(power, lambda v: F.when(v > 0, let((lagged / v - VOWELS_SERIAL) * F.sqrt(n), normal_tail)).otherwise(F.lit(1.0)))
+
+        return let(let(_total(vowels) / n, lambda mean: F.transform(vowels, lambda c: c - mean)), test)
+
+    def combined(x: Column) -> Column:
+        logs = -(F.log(_small(x["a"])) + F.log(_small(x["b"])) + F.log(_small(x["c"])))
+        return let(logs, lambda h: F.exp(-h) * (1 + h + h * h / 2))
+
+    def tests(x: Column) -> Column:
+        chars, n = x["chars"], F.size(x["chars"]).cast("double")
+        folded = F.transform(chars, F.lower)
+        kinds = F.transform(chars, lambda c: F.when(c.between("0", "9"), 1).when(c.between("a", "z"), 2).when(c.between("A", "Z"), 3).otherwise(0))
+        vowels = F.transform(folded, lambda c: F.when(F.instr(F.lit("aeiouy"), c) > 0, F.lit(1.0)).otherwise(F.lit(0.0)))
+        return let(F.struct(let(folded, lambda f: flat(f, n)).alias("a"), let(kinds, lambda k: restless(k, n)).alias("b"), let(vowels, lambda v: serial(v, n)).alias("c")), combined)
+
+    return let(F.struct(F.regexp_extract_all(token, F.lit("(.)"), F.lit(1)).alias("chars")), tests)
+
+
 def encoding(token: Column) -> Column:
     """The narrowest alphabet that holds the token; null where it has neither letters nor digits.
 
@@ -158,7 +251,7 @@ def located(text: Column) -> list[Column]:
 
     def judged(s: Column, token: Column) -> Column:
         tested = F.char_length(token) >= MIN_RANDOM
-        return let(encoding(token), lambda code: F.struct(s["start"].alias("start"), s["end"].alias("end"), code.alias("encoding"), F.char_length(token).alias("length"), F.when(code.isNotNull() & tested, p_value(token, _alphabet(code))).alias("p")))
+        return let(encoding(token), lambda code: F.struct(s["start"].alias("start"), s["end"].alias("end"), code.alias("encoding"), F.char_length(token).alias("length"), token.alias("token"), F.when(code.isNotNull() & tested, ordinary_p(token)).alias("p")))
 
     def tested(s: Column) -> Column:
         # A name, an equals sign or padding around the token is not part of what is tested; each side of one inside is, too.
@@ -166,7 +259,12 @@ def located(text: Column) -> list[Column]:
         sides = F.filter(F.array_distinct(F.concat(F.array(bare), F.split(s["match"], "=+"))), lambda side: F.char_length(side) >= MIN_RANDOM)
         return F.transform(sides, lambda side: let(F.regexp_replace(side, "[-_=]", "+"), lambda token: judged(s, token)))
 
-    candidates = F.filter(F.flatten(F.transform(matches(safe, CANDIDATE, lambda m: F.lit(True)), tested)), lambda c: c["p"].isNotNull())
+    def against_noise(c: Column) -> Column:
+        noise = F.when(c["p"] <= WORTH, p_value(c["token"], _alphabet(c["encoding"])))
+        return F.struct(*(c[x].alias(x) for x in ("start", "end", "encoding", "length", "p")), noise.alias("noise"))
+
+    first = F.filter(F.flatten(F.transform(matches(safe, CANDIDATE, lambda m: F.lit(True)), tested)), lambda c: c["p"].isNotNull())
+    candidates = F.transform(first, against_noise)
     return [*columns, candidates.alias("candidates")]
 
 
@@ -175,32 +273,36 @@ def length_class(length: Column) -> Column:
     return F.least(F.floor(F.log2(length.cast("double"))), F.lit(9)).cast("int")
 
 
-def noise_limits(found: DataFrame, fdr: float) -> dict[tuple[str, int], int]:
-    """For each class the highest histogram bin that Benjamini-Hochberg rejects as noise, -1 for none.
+def p_bin(p: Column) -> Column:
+    """Number of the bin: 0 for p near 1, each bin's upper bound is 10^(-bin / BINS_A_POWER)."""
+    return F.least(F.floor(-F.log10(F.greatest(p, F.lit(1e-30))) * BINS_A_POWER), F.lit(BINS - 1)).cast("int")
+
+
+def discovery_limits(found: DataFrame, fdr: float) -> dict[tuple[str, int], int]:
+    """For each class the lowest bin whose candidates Benjamini-Hochberg takes for other than ordinary text, BINS for none.
 
-    At most 10 encodings x 10 length classes x 2000 bins are aggregated, whatever the size of the corpus.
+    At most 10 encodings x 10 length classes x 1500 bins are aggregated, whatever the size of the corpus.
     """
-    each = found.select(F.explode("candidates").alias("c")).select(F.col("c.encoding").alias("encoding"), length_class(F.col("c.length")).alias("class"), F.least(F.floor(F.col("c.p") * BINS), F.lit(BINS - 1)).cast("int").alias("bin"))
+    if fdr > WORTH:
+        raise ValueError(f"fdr must be at most {WORTH}")
+    each = found.select(F.explode("candidates").alias("c")).select(F.col("c.encoding").alias("encoding"), length_class(F.col("c.length")).alias("class"), p_bin(F.col("c.p")).alias("bin"))
     counts = each.groupBy("encoding", "class", "bin").agg(F.count("*").alias("n"))
-    counts.createOrReplaceTempView("tessera_noise_counts")
-    limits = found.sparkSession.sql(f"""
-        SELECT encoding, class, coalesce(max(CASE WHEN (bin + 1) / {BINS}.0D * total <= {fdr}D * below THEN bin END), -1) AS top
-        FROM (SELECT encoding, class, bin, sum(n) OVER (PARTITION BY encoding, class) AS total,
-                     sum(n) OVER (PARTITION BY encoding, class ORDER BY bin) AS below FROM tessera_noise_counts)
-        GROUP BY encoding, class
-    """).collect()
-    return {(r["encoding"], r["class"]): r["top"] for r in limits}
+    own = Window.partitionBy("encoding", "class")
+    ranked = counts.select("encoding", "class", "bin", F.sum("n").over(own).alias("total"), F.sum("n").over(own.orderBy(F.col("bin").desc())).alias("beyond"))
+    passing = F.pow(F.lit(10.0), -F.col("bin") / BINS_A_POWER) * F.col("total") <= fdr * F.col("beyond")
+    limits = ranked.groupBy("encoding", "class").agg(F.coalesce(F.min(F.when(passing, F.col("bin"))), F.lit(BINS)).alias("limit")).collect()
+    return {(r["encoding"], r["class"]): r["limit"] for r in limits}
 
 
 def random_spans(limits: dict[tuple[str, int], int]) -> Column:
-    """The candidates that no class limit declares to be other than noise."""
-    table = F.create_map(*(F.lit(x) for (code, size), top in limits.items() for x in (f"{code}/{size}", top))) if limits else F.create_map(F.lit(""), F.lit(-1))
+    """The candidates that are beyond their class's limit for ordinary text and could be noise."""
+    table = F.create_map(*(F.lit(x) for (code, size), limit in limits.items() for x in (f"{code}/{size}", limit))) if limits else F.create_map(F.lit(""), F.lit(BINS))
 
-    def noise(c: Column) -> Column:
+    def secret(c: Column) -> Column:
         key = F.concat(c["encoding"], F.lit("/"), length_class(c["length"]).cast("string"))
-        return F.least(F.floor(c["p"] * BINS), F.lit(BINS - 1)) > F.coalesce(F.try_element_at(table, key), F.lit(-1))
+        return (c["noise"] >= NOISE_LEVEL) & (p_bin(c["p"]) >= F.coalesce(F.try_element_at(table, key), F.lit(BINS)))
 
-    return F.array_distinct(_numbered(F.filter("candidates", noise), 3))
+    return F.array_distinct(_numbered(F.filter("candidates", secret), 3))
 
 
 def listed(spans: Column) -> Column:
@@ -218,26 +320,50 @@ def scan(docs: DataFrame, fdr: float = 0.05) -> DataFrame:
         "doc_id",
         *(F.size(kind).cast("long").alias(f"n_{kind}") for kind in KINDS[:3]),
         F.sha2(listed(base), 256).alias("base_sha256"),
-        listed(F.concat(base, random_spans(noise_limits(found, fdr)))).alias("spans"),
+        listed(F.concat(base, random_spans(discovery_limits(found, fdr)))).alias("spans"),
     )
 
 
+def _replaced(text: Column, spans: Column, mark: str) -> Column:
+    """The text with ``mark`` for each span of a sorted array; spans that overlap become one.
+
+    The spans are taken in slices. The text is cut at the slices' ends first and at the spans inside these short pieces
+    then, since finding a place in a text takes a walk from its beginning.
+    """
+    empty = F.array().cast("array<string>")
+
+    def inside(part: Column, base: Column, piece: Column) -> Column:
+        start = F.struct(base.alias("at"), empty.alias("out"))
+
+        def step(acc: Column, s: Column) -> Column:
+            kept = F.substring(piece, (acc["at"] - base + 1).cast("int"), (s["start"] - acc["at"]).cast("int"))
+            return F.when(s["start"] >= acc["at"], F.struct(s["end"].alias("at"), F.concat(acc["out"], F.array(kept, F.lit(mark))).alias("out"))).otherwise(F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["out"].alias("out")))
+
+        return F.aggregate(part, start, step, lambda acc: F.array_join(acc["out"], ""))
+
+    def whole(x: Column) -> Column:
+        def one(part: Column, base: Column) -> Column:
+            end = F.greatest(base, F.array_max(F.transform(part, lambda s: s["end"])))
+            return let(F.substring(text, (base + 1).cast("int"), (end - base).cast("int")), lambda piece: inside(part, base, piece))
+
+        done = F.zip_with(x["parts"], x["bases"], one)
+        last = F.array_max(F.transform(spans, lambda s: s["end"]))
+        return F.concat(F.array_join(done, ""), F.substring(text, (last + 1).cast("int"), F.char_length(text)))
+
+    def bases(parts: Column) -> Column:
+        return _before(F.transform(parts, lambda part: F.array_max(F.transform(part, lambda s: s["end"]))), F.greatest)
+
+    return F.when(F.size(spans) == 0, text).otherwise(let(let(blocks(spans), lambda p: F.struct(p.alias("parts"), bases(p).alias("bases"))), whole))
+
+
 def redact(docs: DataFrame, text_col: str = "text", fdr: float = 0.05, with_: str = "[SECRET]") -> DataFrame:
-    """All columns of ``docs``, each secret in the text replaced; overlapping spans become one, a null text stays."""
-    found = stage(docs.select(*located(F.coalesce(F.col(text_col), F.lit("")))).where("size(candidates) > 0").select("candidates"), "secret-candidates")
-    limits = noise_limits(found, fdr)
-    names = ["assign", "access", "hex", "candidates"]
-    work = docs.select(F.struct(*docs.columns).alias("row"), *(c.alias(n) for c, n in zip(located(F.coalesce(F.col(text_col), F.lit(""))), names, strict=True)))
-    spans = work.select("row", F.array_sort(F.concat("assign", "access", "hex", random_spans(limits))).alias("spans"))
-    text = F.col("row")[text_col]
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("out"))
-
-    def step(acc: Column, s: Column) -> Column:
-        kept = F.substring(text, acc["at"].cast("int") + 1, (s["start"] - acc["at"]).cast("int"))
-        return F.when(s["start"] >= acc["at"], F.struct(s["end"].alias("at"), F.concat(acc["out"], F.array(kept, F.lit(with_))).alias("out"))).otherwise(F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["out"].alias("out")))
-
-    def whole(acc: Column) -> Column:
-        return F.array_join(F.concat(acc["out"], F.array(F.substring(text, acc["at"].cast("int") + 1, F.char_length(text)))), "")
-
-    cleaned = F.when(F.size("spans") == 0, text).otherwise(F.aggregate("spans", start, step, whole))
-    return spans.select(*(cleaned.alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns))
+    """All columns of ``docs``, each secret in the text replaced; overlapping spans become one, a null text stays.
+
+    Texts are searched once; what is found is staged beside the rows.
+    """
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    assign, access, hexes, candidates = located(text)
+    found = stage(docs.select(F.struct(*docs.columns).alias("row"), F.concat(assign, access, hexes).alias("base"), candidates), "secret-candidates")
+    spans = F.array_sort(F.concat("base", random_spans(discovery_limits(found, fdr))))
+    cleaned = _replaced(F.col("row")[text_col], F.col("spans"), with_)
+    return found.select("row", spans.alias("spans")).select(*(cleaned.alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns))

@@ -23,13 +23,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import as_documents
+from tessera.llm.common import as_documents, frugal
 from tessera.llm.gru import LONGEST, Network, sigmoid, spell
 
 WINDOW, STRIDE = 16, 8
 TOXIC_SAMPLE, CLEAN_SAMPLE, SAMPLE_CHARS = 1500, 3000, 6000
 #: Words whose inputs a task keeps, and windows it runs at once.
-KEPT_WORDS, RUN_WINDOWS = 300_000, 2048
+KEPT_WORDS, RUN_WINDOWS = 150_000, 2048
 SLICE_TEXTS = 250
 _WORD = re.compile(r"[^\W_]+")
 
@@ -227,7 +227,7 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
             scores = sent.value.scores(texts) if sent.value is not None else np.zeros(len(texts))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores, pa.float64())], ["doc_id", "score"])
 
-    scored = as_documents(docs).mapInArrow(run, "doc_id long, score double")
+    scored = as_documents(docs).mapInArrow(frugal(run, lambda: sent.value is not None and sent.value.reset()), "doc_id long, score double")
     return scored.select("doc_id", F.coalesce(is_held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
 
 
@@ -246,4 +246,4 @@ def keep_clean(docs: DataFrame, model: Model | None, text_col: str = "text") ->
                 batch = batch.filter(pa.array(scores < 0.5))
             yield batch
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(frugal(run, lambda: sent.value is not None and sent.value.reset()), docs.schema)

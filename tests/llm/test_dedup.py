@@ -107,3 +107,28 @@ def test_near_chain(spark):
 
 def test_empty(empty):
     assert E.exact_dedup(empty).count() == remove_repeats(empty).count() == near_components(empty, 4, 85).count() == 0
+
+
+def test_near_repeated_ids(spark):
+    """Rows of one id with different sets, each of which links elsewhere: the id joins both groups."""
+    words = [f"v{k}" for k in range(200)]
+    texts = [(1, " ".join(words[:60])), (1, " ".join(words[100:160])), (2, " ".join([*words[:59], "z"])), (3, " ".join([*words[100:159], "z"]))]
+    got = near_components(spark.createDataFrame(texts, "doc_id long, text string"), 4, 85).collect()
+    assert {(r["doc_id"], r["component_id"]) for r in got} == {(1, 1), (2, 1), (3, 1)}
+
+
+def test_divide_skip():
+    import random
+
+    import numpy as np
+
+    from tessera.llm.ngram_join import divide_skip, needed, overlap_needed
+
+    rng = random.Random(5)
+    for _ in range(200):
+        own = rng.sample(range(400), rng.randint(1, 80))
+        others = [np.sort(np.array(rng.sample(own, rng.randint(0, len(own))) + rng.sample(range(400, 900), rng.randint(1, 12)), np.uint64)) for _ in range(12)]
+        size = len(own) - needed(len(own), 85) + 1
+        short, long = np.sort(np.array(own[:size], np.uint64)), np.sort(np.array(own[size:], np.uint64))
+        wanted = [i for i, o in enumerate(others) if len(set(own) & set(o.tolist())) >= overlap_needed(len(own), len(o), 85)]
+        assert divide_skip(short, long, others, 85) == wanted

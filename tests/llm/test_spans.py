@@ -91,3 +91,32 @@ def test_redact(spark, hard):
 
 def test_empty(empty):
     assert pii.scan(empty).count() == secrets.scan(empty).count() == secrets.redact(empty).count() == 0
+
+
+def test_random_spans_tell_noise_from_written_words(spark):
+    """False discovery is counted against ordinary text: joined words stay, random strings are found."""
+    import random
+    import string
+
+    from tessera.llm import secrets
+
+    rng = random.Random(3)
+    words = ["river", "castle", "window", "market", "summer", "garden", "letter", "bridge", "forest", "silver", "orange", "planet", "border", "copper", "engine", "harbor"]
+
+    def written(k):
+        some = [rng.choice(words) for _ in range(rng.randint(4, 8))]
+        return ["_".join(some), "".join(w.title() for w in some), "/".join(some) + f"/{rng.randint(2000, 2030)}", "".join(some)][k % 4]
+
+    noise = string.ascii_letters + string.digits + "+/"
+    rows = [(k, f"see {written(k)} there") for k in range(600)] + [(1000 + k, "see " + "".join(rng.choice(noise) for _ in range(40)) + " there") for k in range(60)]
+    found = {r["doc_id"] for r in secrets.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect() if "random" in r["spans"]}
+    assert sum(k < 1000 for k in found) <= 0.05 * len(found) and sum(k >= 1000 for k in found) >= 50
+
+
+def test_many_matches_in_one_text(spark):
+    from tessera.llm import secrets
+
+    text = "é " + " ".join(f"{k:032x}" for k in range(4000)) + " ü"
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    assert secrets.scan(docs).first()["n_hex"] == 4000
+    assert secrets.redact(docs).first()["text"] == "é " + " ".join(["[SECRET]"] * 4000) + " ü"
