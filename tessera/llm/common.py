@@ -58,6 +58,15 @@ def drop(*staged: DataFrame) -> None:
         path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def give_back() -> None:
+    """Return this process's freed memory to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def frugal(run: Callable, clear: Callable[[], None] | None = None) -> Callable:
     """``run`` for mapInArrow, which gives its memory back to the system when a partition ends.
 
@@ -70,11 +79,7 @@ def frugal(run: Callable, clear: Callable[[], None] | None = None) -> Callable:
         finally:
             if clear:
                 clear()
-            gc.collect()
-            pa.default_memory_pool().release_unused()
-            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-            if trim:
-                trim(0)
+            give_back()
 
     return task
 

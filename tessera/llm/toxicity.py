@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import as_documents, frugal
+from tessera.llm.common import as_documents, frugal, give_back
 from tessera.llm.gru import LONGEST, Network, sigmoid, spell
 
 WINDOW, STRIDE = 16, 8
@@ -61,10 +61,10 @@ def _parts(word: str) -> set[str]:
     return {word, *(f"^{word[:k]}" for k in (4, 5, 6) if len(word) > k), *(f"{word[-k:]}$" for k in (4, 5, 6) if len(word) > k)}
 
 
-def _evidence(docs: list[list[str]], labels: np.ndarray) -> dict[str, float]:
+def _evidence(names: list[str], docs: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
     """For each word the strongest log-odds, over documents, of itself or one of its ends."""
-    def held(words: list[str]) -> set[str]:
-        return set().union(*map(_parts, set(words)))
+    def held(words: np.ndarray) -> set[str]:
+        return set().union(*(_parts(names[w]) for w in np.unique(words).tolist()))
 
     n_toxic, n_clean = int(labels.sum()), int((labels == 0).sum())
     toxic, clean = Counter(), Counter()
@@ -76,7 +76,7 @@ def _evidence(docs: list[list[str]], labels: np.ndarray) -> dict[str, float]:
         if not label:
             clean.update(toxic.keys() & held(words))
     odds = {p: np.log((a + 0.5) / (n_toxic + 1)) - np.log((clean[p] + 0.5) / (n_clean + 1)) for p, a in toxic.items()}
-    return {w: max((odds.get(p, 0.0) for p in _parts(w)), default=0.0) for w in {w for words in docs for w in words}}
+    return np.array([max((odds.get(p, 0.0) for p in _parts(w)), default=0.0) for w in names], np.float32)
 
 
 class Model:
@@ -154,14 +154,16 @@ def train(texts: list[str], labels: np.ndarray, share: float, epochs: tuple[int,
     """Fit on labelled texts; ``share`` is the part of toxic documents among all labelled ones, for the calibration."""
     order = sorted(range(len(texts)), key=lambda k: (texts[k], labels[k]))
     texts, labels = [texts[k] for k in order], labels[order]
-    docs = [tokens(t) for t in texts]
     if labels.min(initial=1) == labels.max(initial=0):
         return None
-    evidence = _evidence(docs, labels)
-    names = sorted(evidence)
-    number = {w: k for k, w in enumerate(names)}
-    signs = np.array([evidence[w] for w in names], np.float32)
-    cuts = [cut(np.array([number[w] for w in words], np.int64)) for words in docs]
+    seen: dict[str, int] = {}
+    docs = [np.array([seen.setdefault(w, len(seen)) for w in tokens(t)], np.int32) for t in texts]  # words as numbers: strings would take ten times the memory
+    names = sorted(seen)
+    place = np.empty(len(names), np.int32)
+    place[[seen[w] for w in names]] = np.arange(len(names))
+    docs = [place[words] for words in docs]
+    signs = _evidence(names, docs, labels)
+    cuts = [cut(words) for words in docs]
     rng, network = np.random.default_rng(seed), Network(seed)
     spelled = spell(names)
     worst = [signs[c].max(axis=1) for c in cuts]
@@ -193,7 +195,8 @@ def train(texts: list[str], labels: np.ndarray, share: float, epochs: tuple[int,
                 used, ids = np.unique(windows[some], return_inverse=True)
                 network.learn(tuple(s[..., used] for s in spelled), ids.reshape(-1, WINDOW), y[some], weight[some], 0.01 if not phase else 0.004)
     model = Model(network, 1.0, 0.0)
-    found = model.worst(docs)
+    found = np.concatenate([model.worst([tokens(t) for t in texts[at : at + SLICE_TEXTS]]) for at in range(0, len(texts), SLICE_TEXTS)])
+    model.reset()
     toxic = labels == 1
     weights = np.where(toxic, share / max(1, toxic.sum()), (1 - share) / max(1, (~toxic).sum())) * len(labels)
     model.slope, model.shift = _calibrate(found, labels.astype(np.float64), weights)
@@ -214,7 +217,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
     texts = texts.sort_values(["toxic", "doc_id", "text"]).groupby("toxic", group_keys=False)[["text", "toxic"]].apply(lambda g: g.head(TOXIC_SAMPLE if g["toxic"].iloc[0] else CLEAN_SAMPLE)) if len(texts) else texts
     if not len(texts):
         return None
-    return train(texts["text"].tolist(), texts["toxic"].to_numpy(np.int64), counts.get(1, 0) / max(1, sum(counts.values())))
+    model = train(texts["text"].tolist(), texts["toxic"].to_numpy(np.int64), counts.get(1, 0) / max(1, sum(counts.values())))
+    give_back()
+    return model
 
 
 def score(docs: DataFrame, model: Model | None) -> DataFrame:
