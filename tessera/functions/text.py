@@ -10,10 +10,20 @@ ACCENTED = "áàâãäåéèêëíìîïóòôõöúùûüçñýÿÁÀÂÃÄÅÉ
 BASE = "aaaaaaeeeeiiiiooooouuuucnyyAAAAAAEEEEIIIIOOOOOUUUUCNY"
 
 # Texts that stand for no value.
-NULL_TEXTS = ("", "-", "--", "n/d", "nd", "n/a", "na", "null", "none")
+NULL_TEXTS = ("", "-", "--", "n/d", "nd", "n/a", "na", "null", "none", "n.d.", "indisponivel")
 
-# Legal forms that company names carry.
-LEGAL_TOKENS = ("SA", "LTDA", "CIA", "COMPANHIA", "INC", "CORP", "PLC", "SOCIEDADE", "ANONIMA")
+# Legal forms and small words that company names carry.
+LEGAL_TOKENS = ("SA", "S", "A", "LTDA", "ME", "EPP", "CIA", "COMPANHIA", "DO", "DA", "DE", "DOS", "DAS", "E", "EM")
+
+# Words that tell little of a business, besides the legal forms.
+BUSINESS_TOKENS = ("PARTICIPACOES", "PARTICIPACAO", "PART", "HOLDING", "HOLDINGS", "GRUPO", "BRASILEIRA", "BRASILEIRO", "NACIONAL", "INDUSTRIA", "INDUSTRIAS", "COMERCIO", "EMPREENDIMENTOS", "INVESTIMENTOS", "NOVA", "NOVO")
+
+# Abbreviations in filing names.
+SYNONYMS = {"BCO": "BANCO", "TELEC": "TELECOMUNICACOES", "TELECOM": "TELECOMUNICACOES", "DISTRIB": "DISTRIBUIDORA", "ELETR": "ELETRICA", "CENT": "CENTRAIS", "EMPR": "EMPRESA", "SERV": "SERVICOS", "TRANSM": "TRANSMISSAO", "ENERG": "ENERGIA", "SID": "SIDERURGICA", "CONSTR": "CONSTRUTORA"}
+
+# Magnitude words, each also the beginning of its plural's; and label parts that mean money.
+MAGNITUDES = (("trilho|trilhao", 10**12), ("bilho|bilhao", 10**9), ("milho|milhao", 10**6), ("mil", 10**3))
+MONEY_LABELS = "valor|cotacao|volume|vpa|lpa|preco"
 
 
 def squeeze(text: Column) -> Column:
@@ -46,7 +56,7 @@ def label_key(text: Column, empty: str = "campo") -> Column:
 
 
 def null_like(text: Column) -> Column:
-    return F.lower(squeeze(F.coalesce(text, F.lit("")))).isin(*NULL_TEXTS)
+    return F.lower(strip_marks(squeeze(F.coalesce(text, F.lit(""))))).isin(*NULL_TEXTS)
 
 
 def digits(text: Column) -> Column:
@@ -54,9 +64,10 @@ def digits(text: Column) -> Column:
 
 
 def br_decimal(text: Column, scale: int = 10) -> Column:
-    """Points group thousands, a comma parts decimals; currency signs, percent signs and spaces don't count."""
-    plain = F.regexp_replace(F.regexp_replace(squeeze(text), r"R\$|%|\s", ""), r"\.", "")
-    return F.when(~null_like(text), F.regexp_replace(plain, ",", ".").try_cast(f"decimal(38,{scale})"))
+    """Points group thousands, a comma parts decimals; a letter means no number, other signs don't count."""
+    bare = F.regexp_replace(squeeze(text), r"R\$|%", "")
+    plain = F.regexp_replace(F.translate(F.translate(bare, ".", ""), ",", "."), r"[^0-9.\-+]", "")
+    return F.when(~null_like(text) & ~F.rlike(bare, F.lit("[A-Za-zÀ-ÿ]")), plain.try_cast(f"decimal(38,{scale})"))
 
 
 def plain_decimal(text: Column, scale: int = 10) -> Column:
@@ -68,18 +79,31 @@ def comma_decimal(text: Column, scale: int = 10) -> Column:
     return F.when(~null_like(text), F.regexp_replace(F.trim(text), ",", ".").try_cast(f"decimal(38,{scale})"))
 
 
+def page_decimal(text: Column, scale: int = 10) -> Column:
+    """Points group thousands only where a comma parts decimals."""
+    plain = F.when(F.contains(text, F.lit(",")), F.translate(F.translate(text, ".", ""), ",", ".")).otherwise(text)
+    return F.trim(plain).try_cast(f"decimal(38,{scale})")
+
+
 def magnitude_decimal(text: Column, scale: int = 10) -> Column:
-    """An amount followed by a magnitude: thousand, million, billion or trillion, or their initials."""
-    word = F.upper(F.regexp_extract(text, r"[0-9][\s]*([A-Za-z])", 1))
-    factor = F.when(word == "T", F.lit(10**12)).when(word == "B", F.lit(10**9)).when(word == "M", F.lit(10**6)).when(word == "K", F.lit(10**3)).otherwise(F.lit(1)).cast("decimal(20,0)")
-    amount = F.regexp_replace(F.regexp_extract(text, r"\(?-?[\d,]*\.?\d+", 0), r"[(,]", "").try_cast("decimal(18,6)")
-    return (F.when(F.contains(text, F.lit("(")), -amount).otherwise(amount) * factor).cast(f"decimal(38,{scale})")
+    """The first amount before a local price, scaled by the magnitude word in that text; also short forms such as 2.5B or (3 M)."""
+    reported = F.split(text, r"R\$")[0]
+    amount, key = page_decimal(F.regexp_extract(reported, r"-?\d[\d.]*(?:,\d+)?", 0), 6), lower_key(reported)
+    factor = F.lit(1)
+    for words, size in reversed(MAGNITUDES):
+        factor = F.when(F.rlike(key, F.lit(words)), F.lit(size)).otherwise(factor)
+    initial = F.upper(F.regexp_extract(reported, r"\d\s*([KMBTkmbt])\b", 1))
+    for letter, size in (("T", 10**12), ("B", 10**9), ("M", 10**6), ("K", 10**3)):
+        factor = F.when(initial == letter, F.lit(size)).otherwise(factor)
+    signed = F.when(F.rlike(reported, F.lit(r"\(\s*\d")), -amount).otherwise(amount)
+    return (signed * factor.cast("decimal(20,0)")).cast(f"decimal(38,{scale})")
 
 
 def br_date(text: Column) -> Column:
-    """Day, month and year, the year with four or two digits."""
-    trimmed = F.trim(text)
-    return F.coalesce(F.try_to_date(trimmed, "d/M/yyyy"), F.try_to_date(trimmed, "d/M/yy"))
+    """Day, month and year; a year of two digits is one from 1969 to 2068."""
+    shown = squeeze(text)
+    short = F.try_to_date(shown, "d/M/yy")
+    return F.when(~null_like(shown), F.coalesce(F.try_to_date(shown, "d/M/yyyy"), F.when(F.year(short) >= 2069, F.add_months(short, -1200)).otherwise(short)))
 
 
 def iso_date(text: Column) -> Column:
@@ -96,22 +120,41 @@ def period_date(code: Column) -> Column:
     return F.try_to_date(F.concat(code.cast("string"), F.lit("01")), "yyyyMMdd")
 
 
-def inferred(text: Column) -> Column:
-    """struct(value_type, value_date, value_decimal, value_text): date, then percent, money or number, then text."""
+def inferred(text: Column, label: Column | None = None) -> Column:
+    """struct(value_type, value_date, value_decimal, value_text): date, then percent, money or number, then text.
+
+    Money has its sign before it or a label that says so.
+    """
     shown = squeeze(text)
     day, number = br_date(shown), br_decimal(shown)
-    kind = F.when(null_like(shown), "null").when(day.isNotNull(), "date").when(number.isNull(), "text").when(F.endswith(shown, F.lit("%")), "percent").when(F.startswith(shown, F.lit("R$")), "money").otherwise("number")
+    money = F.startswith(shown, F.lit("R$")) | (F.lit(False) if label is None else F.coalesce(F.rlike(label_key(label), F.lit(MONEY_LABELS)), F.lit(False)))
+    kind = F.when(null_like(shown), "null").when(day.isNotNull(), "date").when(number.isNull(), "text").when(F.contains(shown, F.lit("%")), "percent").when(money, "money").otherwise("number")
     return F.struct(kind.alias("value_type"), F.when(kind == "date", day).alias("value_date"), F.when(kind.isin("percent", "money", "number"), number).alias("value_decimal"), F.when(kind == "text", shown).alias("value_text"))
 
 
 def name_tokens(text: Column, noise: tuple[str, ...] = LEGAL_TOKENS) -> Column:
-    """A company name as distinct tokens without legal forms; where nothing else is left, all of them."""
-    plain = F.regexp_replace(F.regexp_replace(fold(text), r"S\s*[/.]\s*A\b\.?", " SA "), "[^A-Z0-9]+", " ")
-    every = F.array_distinct(F.filter(F.split(F.trim(plain), " "), lambda t: t != ""))
+    """A company name as distinct tokens, abbreviations in full, without noise; where nothing else is left, all of them.
+
+    ``LEGAL_TOKENS`` tell the least; with ``BUSINESS_TOKENS`` besides, only what identifies stays.
+    """
+    plain = F.regexp_replace(F.regexp_replace(fold(text), r"S/A|S\.A\.", " SA "), "[^A-Z0-9]+", " ")
+    full = F.create_map(*(F.lit(x) for pair in SYNONYMS.items() for x in pair))
+    every = F.array_distinct(F.transform(F.filter(F.split(F.trim(plain), " "), lambda t: t != ""), lambda t: F.coalesce(F.try_element_at(full, t), t)))
     kept = F.filter(every, lambda t: ~t.isin(*noise))
     return F.when(F.size(kept) > 0, kept).otherwise(every)
 
 
+def annual_fee(text: Column, percentage_points: bool = False) -> Column:
+    """A monthly fee over twelve months, as a share; negative ones are null."""
+    fee = comma_decimal(text) / (100 if percentage_points else 1)
+    return F.when(fee >= 0, fee * 12)
+
+
+def age_years(since: Column, at: Column) -> Column:
+    """Years of 365.25 days; null where it begins later."""
+    return F.when(since <= at, F.datediff(at, since) / 365.25)
+
+
 def ticker(text: Column) -> Column:
     """Upper-cased; null unless letters, digits, dots and hyphens, twelve at most."""
     shown = F.upper(F.trim(text))

@@ -1,0 +1 @@
+"""Readers: members of ZIP archives as lines, delimited and fixed-width records, JSON tables."""
