@@ -398,15 +398,15 @@ def plausibility_filter(spark, sf_dir):
     return f.select("l_suppkey", "yr", "fact", F.when(fits, F.col("value")).alias("value"), F.when(fits | F.col("value").isNull(), F.col("status")).otherwise("implausible").alias("status"))
 
 
-_DAILY = "SELECT CAST(ts AS DATE) AS day, count(*) AS n, '{0}' AS source FROM events WHERE event_type = '{0}' AND user_id % {1} = 0 GROUP BY ALL"
+_DAILY = "SELECT CAST(ts AS DATE) AS day, count(*) AS n, '{0}' AS source FROM events WHERE event_type = '{0}' GROUP BY ALL"
 
 
-@query(f"WITH a AS ({_DAILY.format('purchase', 7)}), b AS ({_DAILY.format('view', 3)}) SELECT * FROM a UNION ALL SELECT * FROM b WHERE day NOT IN (SELECT day FROM a)")
+@query(f"WITH a AS ({_DAILY.format('purchase')}), b AS ({_DAILY.format('view')}) SELECT * FROM a UNION ALL SELECT * FROM b WHERE day NOT IN (SELECT day FROM a)")
 def priority_merge(spark, sf_dir):
-    def daily(kind, every):
-        return _t(spark, sf_dir, "events").where((F.col("event_type") == kind) & (F.col("user_id") % every == 0)).groupBy(F.to_date("ts").alias("day")).agg(F.count("*").alias("n")).withColumn("source", F.lit(kind))
+    def daily(kind):
+        return _t(spark, sf_dir, "events").where(F.col("event_type") == kind).groupBy(F.to_date("ts").alias("day")).agg(F.count("*").alias("n")).withColumn("source", F.lit(kind))
 
-    return R.priority_merge(daily("purchase", 7), daily("view", 3), ["day"])
+    return R.priority_merge(daily("purchase"), daily("view"), ["day"])
 
 
 _USER_DAYS = "SELECT user_id, CAST(ts AS DATE) AS day, count(*) AS n, '{0}' AS source FROM events WHERE event_type = '{0}' GROUP BY ALL"

@@ -8,7 +8,7 @@ import duckdb
 import pytest
 
 import __spark_entry__
-from tessera.plans.queries import ORACLE, QUERIES
+from tessera.plans.facts import ORACLE, QUERIES
 
 
 def plain(value):
