@@ -40,8 +40,8 @@ COMMON_SHINGLES, LOCALLY_COMMON, COUNTED = 200_000, 4, 6_000_000
 LEADERS, GROWTH = 4, 16
 #: A common shingle's list is split in so many parts, whose leaders meet on a list of their own.
 SALTS = 32
-#: Members of an open list for each part that it is dealt to in further rounds.
-PART_MEMBERS = 64
+#: Members of an open list for each part that it is dealt to in further rounds, and the most parts.
+PART_MEMBERS, MOST_PARTS = 512, 1024
 #: Candidates that one task searches for one query at a time.
 PART_CANDIDATES = 256
 #: Bits of the filter that spares most other texts a second look; fixed, so that it can be sent to every task.
@@ -367,8 +367,8 @@ def verified(pairs: DataFrame, sets: DataFrame, nodes: DataFrame, percent: int)
     return dealt.select("a", "b", "shingles", "short").mapInArrow(frugal(_search(percent)), "a long, b long")
 
 
-def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """As many of a partition's links as join its nodes: no component falls apart, and a group has few links more than members."""
+def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A partition's links as stars: each node with the smallest it reaches here. No component falls apart or gets long."""
     parent: dict[int, int] = {}
 
     def root(x: int) -> int:
@@ -377,12 +377,26 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return x
 
     for batch in batches:
-        keep = []
         for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
             x, y = root(a), root(b)
-            keep.append(x != y)
             parent[max(x, y)] = min(x, y)
-        yield batch.filter(pa.array(keep, pa.bool_()))
+    rays = [(root(x), x) for x in list(parent)]
+    for at in range(0, len(rays), 100_000):
+        some = [(x, y) for x, y in rays[at : at + 100_000] if x != y]
+        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in some], pa.int64()), pa.array([y for _, y in some], pa.int64())], ["a", "b"])
+
+
+def joined_labels(labels: DataFrame | None, links: DataFrame) -> DataFrame | None:
+    """node, label after further links: only the components that they join are looked at, not the links known before."""
+    if links.isEmpty():
+        return labels
+    if labels is None:
+        return connected_components(links)
+    ends = [labels.select(F.col("node").alias(e), F.col("label").alias(f"label_{e}")) for e in "ab"]
+    between = links.join(ends[0], "a", "left").join(ends[1], "b", "left").select(F.coalesce("label_a", "a").alias("a"), F.coalesce("label_b", "b").alias("b"))
+    found = connected_components(between)
+    moved = labels.join(found.select(F.col("node").alias("label"), F.col("label").alias("least")), "label", "left").select("node", F.coalesce("least", "label").alias("label"))
+    return stage(moved.unionByName(found.join(labels, "node", "left_anti")), "labels")
 
 
 def _first_round(lists: DataFrame, percent: int) -> DataFrame:
@@ -392,9 +406,9 @@ def _first_round(lists: DataFrame, percent: int) -> DataFrame:
 
 
 def _dealt(lists: DataFrame, leaders: int) -> DataFrame:
-    """Lists in parts, one for each PART_MEMBERS members up to SALTS of them; each part has the leaders of all parts first."""
+    """Lists in parts, one for each PART_MEMBERS members up to MOST_PARTS of them; each part has the leaders of all parts first."""
     sizes = lists.groupBy("shingle").agg(F.count("*").alias("members"))
-    parts = F.least(F.lit(SALTS), F.ceil(F.col("members") / PART_MEMBERS)).cast("int")
+    parts = F.least(F.lit(MOST_PARTS), F.ceil(F.col("members") / PART_MEMBERS)).cast("int")
     salted = lists.join(sizes, "shingle").withColumn("parts", parts).withColumn("own_part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     rank = F.row_number().over(Window.partitionBy("shingle", "own_part").orderBy("component", "n", "node"))
     ranked = salted.withColumn("leads", rank <= F.greatest(F.lit(1), F.floor(F.lit(leaders) / F.col("parts"))))
@@ -420,7 +434,7 @@ def near_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     lists = nodes.select("node", "n", F.inline(F.arrays_zip("short", "common"))).select(F.col("short").alias("shingle"), "common", "n", "node", F.col("node").alias("component"))
 
     first = _first_round(lists, percent)
-    rounds, links, tested, leaders = [first], None, None, LEADERS
+    rounds, tested, leaders = [first], None, LEADERS
     # A common shingle's list is dealt anew from here on; most members of a large one share a component by now.
     opened = first.where("shingle is not null").select("shingle", "n", "node", "component")
     pairs, labels = sift(first.where("a is not null").select("a", "b").distinct(), nodes, percent), None
@@ -430,11 +444,11 @@ def near_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
             ends = stage(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct(), "ends")
             sets = texts.where("doc_id is not null").mapInArrow(frugal(_set_rows(k, _filter(ends))), "node long, set_key binary, shingles binary")
             sets = stage(sets.join(nodes.select("node", "set_key"), ["node", "set_key"], "left_semi").join(ends, "node", "left_semi").dropDuplicates(["node", "set_key"]), "sets")
-            new = stage(verified(pairs, sets, nodes, percent).repartition("b").mapInArrow(_forest, "a long, b long"), "links")
+            new = stage(verified(pairs, sets, nodes, percent).repartition("b").mapInArrow(frugal(_stars), "a long, b long"), "links")
             drop(sets, ends)
-            links = new if links is None else links.unionByName(new)
             tested = pairs if tested is None else tested.unionByName(pairs)
-            labels = connected_components(links) if not links.isEmpty() else None
+            labels = joined_labels(labels, new)
+            drop(new)
         if labels is not None:
             opened = opened.select("shingle", "n", "node").join(labels, "node", "left").select("shingle", "n", "node", F.coalesce("label", "node").alias("component"))
         mixed = opened.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("shingle")
