@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.text import LEGAL_TOKENS, name_tokens
+from tessera.functions.text import BUSINESS_TOKENS, LEGAL_TOKENS, name_tokens
 
 
 def token_match(left: DataFrame, right: DataFrame, left_id: str, right_id: str, name: str, least: int = 2) -> DataFrame:
@@ -26,18 +26,44 @@ def token_match(left: DataFrame, right: DataFrame, left_id: str, right_id: str,
 
 
 def company_match(left: DataFrame, right: DataFrame, left_id: str, right_id: str, name: str) -> DataFrame:
-    """left_id, right_id, tier: 1 for equal names without legal forms, 2 for token containment with two or more shared.
+    """left_id, right_id, tier: 1 for names equal without legal forms, 2 for equal ones without any noise, 3 for containment.
 
-    A tier with more than one candidate rejects; the next tier is not tried for it.
+    Containment means that one name's tokens hold the other's, two or more; the largest overlap wins. A tier with more than
+    one candidate rejects; later tiers are not tried for it. Names without a token match nothing. Equal names are counted
+    and not paired, so frequent ones cost no more than others.
     """
-    key = F.array_join(name_tokens(F.col(name)), " ")
-    l, r = left.select(left_id, name_tokens(F.col(name)).alias("lt"), key.alias("key")), right.select(right_id, name_tokens(F.col(name)).alias("rt"), key.alias("key"))
-    exact = l.join(r.select(right_id, "key"), "key").select(left_id, right_id, F.lit(1).alias("tier"))
-    pairs = token_pairs(l.select(left_id, "lt"), r.select(right_id, "rt"), left_id, right_id)
-    contained = pairs.where("least(size(lt), size(rt)) = overlap and overlap >= 2").select(left_id, right_id, F.lit(2).alias("tier"))
-    w = Window.partitionBy(left_id)
-    tiers = exact.unionByName(contained).withColumn("first", F.min("tier").over(w)).where("tier = first").withColumn("ties", F.count("*").over(w))
-    return tiers.where("ties = 1").select(left_id, right_id, "tier")
+
+    def named(df: DataFrame, key: str) -> DataFrame:
+        tokens = name_tokens(F.col(name), LEGAL_TOKENS + BUSINESS_TOKENS)
+        return df.select(key, F.array_join(name_tokens(F.col(name)), " ").alias("legal"), F.array_join(tokens, " ").alias("plain"), F.array_sort(tokens).alias("tokens")).where("size(tokens) > 0")
+
+    def counted(by: str, to: str) -> DataFrame:
+        return r.groupBy(by).agg(F.struct(F.count("*").alias("n"), F.min(right_id).alias("id")).alias(to))
+
+    l, r = named(left, left_id), named(right, right_id)
+    sets = r.groupBy(F.col("tokens").alias("rt")).agg(F.count("*").alias("n"), F.min(right_id).alias("id"))
+    tried = l.join(counted("legal", "one"), "legal", "left").join(counted("plain", "two"), "plain", "left")
+    open_sets = tried.where("one is null and two is null and size(tokens) > 1").select(F.col("tokens").alias("lt")).distinct()
+    held = contained_pairs(open_sets, sets.select("rt").where("size(rt) > 1")).where("overlap >= 2").join(sets, "rt")
+    best = held.groupBy("lt", "overlap").agg(F.sum("n").alias("n"), F.min("id").alias("id")).groupBy(F.col("lt").alias("tokens")).agg(F.max_by(F.struct("n", "id"), "overlap").alias("three"))
+    found = tried.join(best, "tokens", "left").withColumns({"won": F.coalesce("one", "two", "three"), "tier": F.when(F.col("one").isNotNull(), 1).when(F.col("two").isNotNull(), 2).otherwise(3)})
+    return found.where("won.n = 1").select(left_id, F.col("won.id").alias(right_id), "tier")
+
+
+def contained_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
+    """lt, rt, overlap: pairs of distinct token sets of which one holds the other.
+
+    The larger set holds the smaller one's rarest token, so sets meet only there: a frequent word makes no pairs unless
+    it is all that a set has.
+    """
+    a, b = left.select("lt", F.explode("lt").alias("token")), right.select("rt", F.explode("rt").alias("token"))
+    often = a.select("token").unionAll(b.select("token")).groupBy("token").agg(F.count("*").alias("often"))
+
+    def rarest(tokens: DataFrame, side: str) -> DataFrame:
+        return tokens.join(often, "token").groupBy(side).agg(F.min_by("token", F.struct("often", "token")).alias("token"))
+
+    met = rarest(a, "lt").join(b, "token").unionByName(a.join(rarest(b, "rt"), "token")).select("lt", "rt", F.size(F.array_intersect("lt", "rt")).alias("overlap"))
+    return met.where("overlap = least(size(lt), size(rt))").distinct()
 
 
 def token_pairs(left: DataFrame, right: DataFrame, left_id: str, right_id: str) -> DataFrame:

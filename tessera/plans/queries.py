@@ -196,7 +196,7 @@ def _customer_values(spark, sf_dir):
 """)
 def median_peer_ratio(spark, sf_dir):
     v = _customer_values(spark, sf_dir)
-    m = v.where("spent > 0").groupBy("c_mktsegment").agg(F.median("spent").alias("mid"), F.count("*").alias("n"))
+    m = R.exact_median(v.where("spent > 0"), ["c_mktsegment"], "spent", "mid")
     return v.join(m, "c_mktsegment", "left").select("c_custkey", "c_mktsegment", _r(N.gated(F.col("n"), 3, N.ratio_nonzero(F.col("spent"), F.col("mid")))).alias("ratio"))
 
 
@@ -206,8 +206,10 @@ def median_peer_ratio(spark, sf_dir):
 """)
 def peer_group_medians(spark, sf_dir):
     v = _customer_values(spark, sf_dir).join(_t(spark, sf_dir, "customer").select("c_custkey", "c_acctbal"), "c_custkey")
-    n = F.count("*")
-    return v.groupBy("c_mktsegment").agg(n.alias("sample_size"), _r(N.gated(n, 3, F.median("spent")), 4).alias("median_spent"), _r(N.gated(n, 3, F.median(F.when(F.col("c_acctbal") > 0, F.col("c_acctbal")))), 4).alias("median_balance"))
+    spent = R.exact_median(v, ["c_mktsegment"], "spent", "mid_spent").drop("n")
+    balance = R.exact_median(v.where("c_acctbal > 0"), ["c_mktsegment"], "c_acctbal", "mid_balance").drop("n")
+    m = v.groupBy("c_mktsegment").agg(F.count("*").alias("sample_size")).join(spent, "c_mktsegment", "left").join(balance, "c_mktsegment", "left")
+    return m.select("c_mktsegment", "sample_size", *(_r(N.gated(F.col("sample_size"), 3, F.col(f"mid_{c}")), 4).alias(f"median_{c}") for c in ("spent", "balance")))
 
 
 @query(f"SELECT c_custkey, c_mktsegment, round(spent / sum(spent) FILTER (spent > 0) OVER (PARTITION BY c_mktsegment), 9) + 0.0 AS share FROM ({_CUSTOMER_VALUES})")
@@ -381,7 +383,8 @@ def consistency_error(spark, sf_dir):
     lines = _t(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sum(_money("l_extendedprice")).cast("double").alias("lines"))
     o = _t(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", F.year("o_orderdate").alias("yr"))
     e = o.join(lines, o["o_orderkey"] == lines["l_orderkey"]).select("yr", N.relative_error(F.col("o_totalprice"), F.col("lines")).alias("err"))
-    return e.groupBy("yr").agg(F.count("*").alias("matches"), _r(N.gated(F.count("*"), 6, F.median("err")), 9).alias("error"))
+    counts, middle = e.groupBy("yr").agg(F.count("*").alias("matches")), R.exact_median(e, ["yr"], "err", "mid").drop("n")
+    return counts.join(middle, "yr", "left").select("yr", "matches", _r(N.gated(F.col("matches"), 6, F.col("mid")), 9).alias("error"))
 
 
 # The plausible range of each ratio, both ends included.

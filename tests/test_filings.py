@@ -66,6 +66,11 @@ def test_stock_profile(spark, sector, name, wanted):
     assert spark.createDataFrame([(sector, name)], "a string, b string").select(P.stock_profile(F.col("a"), F.col("b"))).first()[0] == wanted
 
 
+def test_financial_sector(spark):
+    rows = spark.createDataFrame([("Serviços Financeiros",), ("Seguradoras",), ("Previdência",), ("Varejo",), (None,)], "s string")
+    assert [r[0] for r in rows.select(P.is_financial(F.col("s"))).collect()] == [True, True, True, False, False]
+
+
 def test_fund_and_etf_profiles(spark):
     etfs = spark.createDataFrame([("Bitcoin fund", [], [1.0]), ("x", ["Treasury"], []), ("x", ["Equity"], [70.0, 30.0]), ("x", None, [0.5, 0.5]), (None, None, None)], "d string, t array<string>, w array<double>")
     assert [r[0] for r in etfs.select(P.etf_profile(F.col("d"), F.col("t"), F.col("w"))).collect()] == ["crypto", "fixed_income", "thematic", "broad", "broad"]

@@ -59,3 +59,19 @@ def test_merge_directories_prefers_confidence(spark):
     rows = spark.createDataFrame([("X", 1, "low", "old", None), ("X", 2, "high", None, "tech"), ("Y", 3, "medium", "y", None)], "k string, pos int, confidence string, name string, sector string")
     got = {r["k"]: (r["name"], r["sector"]) for r in merge_directories(rows, ["k"], "pos", "confidence").collect()}
     assert got == {"X": ("old", "tech"), "Y": ("y", None)}
+
+
+def test_company_tiers(spark):
+    left = spark.createDataFrame([(1, "Grupo Alfa S.A."), (2, "Beta Energia Sul"), (3, "Gama Minas Norte"), (4, "Delta Sul"), (5, "Delta"), (6, None), (7, "Zeta Energia Holding"), (8, "Eta Rio Mar")], "l int, name string")
+    right = spark.createDataFrame([(10, "Alfa Participacoes"), (20, "Beta Energia Sul Leste"), (21, "Beta Energia"), (30, "Gama Minas"), (31, "Gama Minas Ltda"), (40, "Sul"), (41, "Delta"), (42, "Delta SA"), (70, "Zeta Energia Grupo"), (80, "Eta Rio Mar Leste"), (81, "Eta Mar"), (82, "Energia Sul Norte"), (90, None)], "r int, name string")
+    # 2 shares most with 20; 3 meets two equal names; 4 shares a token only; 5 has two exact ones; 8 shares three with 80, two with 81
+    assert {tuple(r) for r in company_match(left, right, "l", "r", "name").collect()} == {(1, 10, 2), (2, 20, 3), (7, 70, 2), (8, 80, 3)}
+
+
+def test_exact_median(spark):
+    rows = [("a", float(k * 7919 % 30011)) for k in range(30011)] + [("b", 1.0), ("b", 4.0), ("c", None), (None, 3.0)] + [("d", 5.0)] * 2000 + [("d", float(k)) for k in range(100)]
+    df = spark.createDataFrame(rows, "k string, v double").repartition(7)
+    got = {r["k"]: (r["n"], r["m"]) for r in R.exact_median(df, ["k"], "v", "m").collect()}
+    assert got == {"a": (30011, 15005.0), "b": (2, 2.5), None: (1, 3.0), "d": (2100, 5.0)}
+    even = spark.createDataFrame([("a", float(k)) for k in range(50000)], "k string, v double")
+    assert R.exact_median(even, ["k"], "v", "m").first()["m"] == 24999.5
