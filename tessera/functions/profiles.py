@@ -67,7 +67,7 @@ def etf_profile(description: Column, asset_types: Column, weights: Column) -> Co
 
 def fund_profile(kind: Column, property_assets: Column, credit_assets: Column, total_assets: Column) -> Column:
     """The kind of portfolio by the shares of property and of credit in total assets; unknown shares decide nothing."""
-    land, credit = ratio_nonzero(property_assets, total_assets), ratio_nonzero(credit_assets, total_assets)
+    land, credit = (ratio_nonzero(part.cast("double"), total_assets.cast("double")) for part in (property_assets, credit_assets))
     agro = F.when(F.coalesce(credit, F.lit(0)) >= F.coalesce(land, F.lit(0)), "fiagro_credit").otherwise("fiagro_land")
     return F.when(kind == "fi_infra", "fi_infra").when(kind == "fiagro", agro).when(land >= MAIN_SHARE, "brick").when(credit >= MAIN_SHARE, "paper").otherwise("hybrid")
 

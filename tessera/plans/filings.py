@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 
 from tessera.functions import profiles as P
 from tessera.operators import frames as R
+from tessera.operators.distributions import in_period, merged_distributions
 from tessera.operators.institutions import conglomerate_codes, first_filled_quarter
 from tessera.plans.facts import ORACLE, QUERIES
 from tessera.plans.queries import _ORDERS, _SUPPLIER_YEARS, _r, _t, customer_orders, query, supplier_years
-from tessera.sources import filings
+from tessera.sources import filings, fund_reports
 
 __all__ = ["ORACLE", "QUERIES"]  # those of all modules
 
@@ -146,3 +147,51 @@ def conglomerates(spark, sf_dir):
     return conglomerate_codes(c, "c_custkey", "c_nationkey", "kind", "name")
 
 
+_HELD = f"SELECT l_suppkey, yr, CAST(gross AS DECIMAL(18,2)) AS gross, CAST(tax AS DECIMAL(18,2)) AS tax, CAST(qty AS DECIMAL(18,2)) AS qty FROM ({_SUPPLIER_YEARS})"
+
+
+def _member(df: DataFrame, number: int, name: str, columns: dict[str, Column]) -> DataFrame:
+    """Lines of a member, with decimal commas; its header is no row here."""
+    text = F.concat_ws(";", *(F.coalesce(F.regexp_replace(c.cast("string"), r"\.", ","), F.lit("")) for c in columns.values()))
+    return df.select(F.lit("a.zip").alias("archive"), F.lit(name).alias("member"), F.lit(number).alias("member_no"), (F.col("l_suppkey") * 10000 + F.col("yr")).cast("long").alias("line_no"), F.lit(";".join(columns)).alias("header"), text.alias("text"))
+
+
+@query(f"""
+    SELECT CAST(l_suppkey AS VARCHAR) AS fund, make_date(yr, 12, 1) AS as_of, round(CAST(gross AS DOUBLE), 2) + 0.0 AS nav, round(CASE WHEN yr % 2 = 0 THEN CAST(qty AS DOUBLE) END, 2) + 0.0 AS issued_shares, 'S' || l_suppkey AS administrator,
+        round(CASE WHEN yr % 3 = 0 THEN CAST(gross AS DOUBLE) ELSE CAST(tax + qty AS DOUBLE) END, 2) + 0.0 AS total_assets, round(CAST(qty AS DOUBLE) / CASE WHEN yr % 3 = 0 THEN CAST(gross AS DOUBLE) ELSE CAST(tax + qty AS DOUBLE) END, 5) + 0.0 AS credit_share FROM ({_HELD}) WHERE gross > 0 AND tax + qty > 0
+""")
+def fund_monthly_reports(spark, sf_dir):
+    """Three members of an archive by fund and date: issued shares from the general one, a stated total or the sum of its parts."""
+    y = supplier_years(spark, sf_dir).select("l_suppkey", "yr", *(F.col(c).cast("decimal(18,2)").alias(c) for c in ("gross", "tax", "qty"))).where("tax + qty > 0")
+    key = {"CNPJ_Fundo": F.col("l_suppkey"), "Data_Referencia": F.concat(F.col("yr"), F.lit("-12-01"))}
+    general = _member(y, 0, "geral.csv", key | {"Quantidade_Cotas_Emitidas": F.when(F.col("yr") % 2 == 0, F.col("qty")), "Nome_Administrador": F.concat(F.lit('"S'), F.col("l_suppkey"), F.lit('"'))})
+    complement = _member(y, 1, "complemento.csv", key | {"Valor_Patrimonial_Cotas": F.col("gross")})
+    assets = _member(y, 2, "ativo_passivo.csv", key | {"Valor_Ativo": F.when(F.col("yr") % 3 == 0, F.col("gross")), "Total_Investido": F.col("tax"), "Valores_Receber": F.col("qty"), "CRI": F.col("qty")})
+    read = fund_reports.monthly_reports(*(fund_reports.quoted(lines, columns) for lines, columns in ((complement, fund_reports.COMPLEMENT), (general, fund_reports.GENERAL), (assets, fund_reports.ASSETS))))
+    return fund_reports.portfolio_shares(read).select("fund", "as_of", _r(F.col("nav_per_share"), 2).alias("nav"), _r(F.col("issued_shares"), 2).alias("issued_shares"), "administrator", _r(F.col("total_assets"), 2).alias("total_assets"), _r(F.col("credit_share"), 5).alias("credit_share"))
+
+
+@query(f"""
+    WITH o AS ({_ORDERS}), e AS (SELECT o_custkey, CASE WHEN o_orderkey % 4 = 0 THEN day + 30 ELSE day END AS ex_date, total, o_orderkey FROM o WHERE o_orderstatus = 'F' AND o_orderpriority <> '5-LOW'),
+    b AS (SELECT o_custkey, ex_date, total, 'events' AS source, o_orderkey FROM e UNION ALL SELECT o_custkey, day, total, 'stated', o_orderkey FROM o WHERE o_orderstatus <> 'F')
+    SELECT o_custkey, CAST(ex_date AS DATE) AS ex_date, CAST(total AS DOUBLE) AS value, source FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey, ex_date ORDER BY source, o_orderkey DESC) AS r FROM b) WHERE r = 1
+""")
+def distribution_merge(spark, sf_dir):
+    """Events over stated payments by customer and date; those of amortisation don't count, a missing ex date is the payment's."""
+    o = customer_orders(spark, sf_dir)
+    events = o.where("o_orderstatus = 'F'").select("o_custkey", "o_orderkey", F.when(F.col("o_orderkey") % 4 != 0, F.col("day")).alias("ex_date"), F.date_add("day", 30).alias("payment_date"), F.col("total").alias("value"), F.when(F.col("o_orderpriority") == "5-LOW", "Amortização").alias("kind"))
+    stated = o.where("o_orderstatus <> 'F'").select("o_custkey", "o_orderkey", F.col("day").alias("ex_date"), F.col("total").alias("value"))
+    return merged_distributions(stated, events, ["o_custkey"], "o_orderkey").select("o_custkey", "ex_date", F.col("value").cast("double").alias("value"), "source")
+
+
+@query(f"""
+    WITH o AS (SELECT o_orderkey, CASE WHEN o_orderkey % 4 <> 0 THEN day END AS ex_date, CASE WHEN o_orderkey % 3 <> 0 THEN day + 30 END AS payment_date FROM ({_ORDERS})),
+    f AS (SELECT o_orderkey, coalesce(payment_date > DATE '1997-06-30', false) AS is_future_payment, coalesce(ex_date > DATE '1997-06-30', false) AS is_future_ex_date, payment_date FROM o)
+    SELECT 'past' AS period, o_orderkey, is_future_payment, is_future_ex_date FROM f WHERE payment_date <= DATE '1997-06-30' UNION ALL SELECT 'future', o_orderkey, is_future_payment, is_future_ex_date FROM f WHERE is_future_payment UNION ALL SELECT 'upcoming_ex_date', o_orderkey, is_future_payment, is_future_ex_date FROM f WHERE is_future_ex_date
+""")
+def payment_periods(spark, sf_dir):
+    """Payments past and to come, and those whose ex date is to come."""
+    o = customer_orders(spark, sf_dir).select("o_orderkey", F.when(F.col("o_orderkey") % 4 != 0, F.col("day")).alias("ex_date"), F.when(F.col("o_orderkey") % 3 != 0, F.date_add("day", 30)).alias("payment_date"))
+    at = F.lit("1997-06-30").cast("date")
+    past, *rest = (in_period(o, p, at).select(F.lit(p).alias("period"), "o_orderkey", "is_future_payment", "is_future_ex_date") for p in ("past", "future", "upcoming_ex_date"))
+    return past.unionByName(rest[0]).unionByName(rest[1])

@@ -104,7 +104,7 @@ def latest_balances(seen: DataFrame, key: str) -> DataFrame:
     balances = seen.where(F.col("measure").isin(*BALANCES)).join(last.select(key, "as_of"), key)
     wide = latest_instant(balances, [key, "measure"], F.col("as_of")).groupBy(key).pivot("measure", list(BALANCES)).agg(F.first("value"))
     debt = sum_any(F.col("current_debt"), F.col("noncurrent_debt"))
-    full = last.join(wide, key, "left").withColumns({"gross_debt": debt, "net_debt": debt - F.col("cash_and_equivalents"), "shares": F.coalesce(F.col("shares_outstanding"), ratio_nonzero(F.col("net_income"), F.col("earnings_per_share")))})
+    full = last.join(wide, key, "left").withColumns({"gross_debt": debt, "net_debt": debt - F.col("cash_and_equivalents"), "shares": F.coalesce(F.col("shares_outstanding").cast("double"), ratio_nonzero(F.col("net_income").cast("double"), F.col("earnings_per_share").cast("double")))})
     return full.drop("net_income", "earnings_per_share", "shares_outstanding")
 
 
