@@ -14,7 +14,7 @@ from tessera.operators.distributions import in_period, merged_distributions
 from tessera.operators.institutions import conglomerate_codes, first_filled_quarter
 from tessera.plans.facts import ORACLE, QUERIES
 from tessera.plans.queries import _ORDERS, _SUPPLIER_YEARS, _r, _t, customer_orders, query, supplier_years
-from tessera.sources import filings, fund_reports
+from tessera.sources import directories, filings, fund_reports
 
 __all__ = ["ORACLE", "QUERIES"]  # those of all modules
 
@@ -195,3 +195,28 @@ def payment_periods(spark, sf_dir):
     at = F.lit("1997-06-30").cast("date")
     past, *rest = (in_period(o, p, at).select(F.lit(p).alias("period"), "o_orderkey", "is_future_payment", "is_future_ex_date") for p in ("past", "future", "upcoming_ex_date"))
     return past.unionByName(rest[0]).unionByName(rest[1])
+
+
+@query("""
+    SELECT 'C' || c_custkey AS ticker, lpad(CAST(min(c_custkey) AS VARCHAR), 10, '0') AS cik, min(c_name) AS name, CASE WHEN c_custkey % 3 = 0 THEN 'N' || min(c_nationkey) END AS exchange, 'US' AS country, CAST(NULL AS VARCHAR) AS security_class
+    FROM customer WHERE NOT regexp_full_match('C' || c_custkey, '[A-Z]{4}[0-9]{1,2}') AND length('C' || c_custkey) <= 10 GROUP BY c_custkey
+""")
+def directory_entries(spark, sf_dir):
+    """A directory's documents, in each of the three shapes, as one table."""
+    c = _t(spark, sf_dir, "customer")
+    key, number, place = F.concat(F.lit("c"), F.col("c_custkey")), F.col("c_custkey").cast("string"), F.concat(F.lit("N"), F.col("c_nationkey"))
+    matrix = F.to_json(F.struct(F.array(*map(F.lit, ("ticker", "cik", "title", "exchange"))).alias("fields"), F.array(F.array(key, number, F.col("c_name"), place)).alias("data")))
+    entry = F.struct(key.alias("ticker"), F.col("c_custkey").alias("cik_str"), F.col("c_name").alias("companyName"))
+    doc = F.when(F.col("c_custkey") % 3 == 0, matrix).when(F.col("c_custkey") % 3 == 1, F.to_json(F.struct(F.array(entry).alias("data")))).otherwise(F.to_json(F.struct(entry.alias("0"))))
+    return directories.ticker_directory(c.select("c_custkey", doc.alias("doc")), "doc", "c_custkey")
+
+
+@query("""
+    WITH s AS (SELECT s_suppkey, 'S' || s_suppkey AS ticker, CASE WHEN s_suppkey % 2 = 0 THEN s_name END AS name, CASE WHEN s_suppkey % 3 > 0 THEN 's' || (s_suppkey + 1) END AS underlying, CASE WHEN s_suppkey % 5 = 0 THEN 'own' END AS own FROM supplier)
+    SELECT s.s_suppkey, coalesce(s.own, t.name) AS underlying_name FROM s LEFT JOIN s t ON upper(s.underlying) = t.ticker
+""")
+def borrowed_names(spark, sf_dir):
+    """Receipts that have no issuer's name take that of the share they stand for."""
+    k = F.col("s_suppkey")
+    s = _t(spark, sf_dir, "supplier").select(k, F.concat(F.lit("S"), k).alias("ticker"), F.when(k % 2 == 0, F.col("s_name")).alias("name"), F.when(k % 3 > 0, F.concat(F.lit("s"), (k + 1).cast("string"))).alias("underlying"), F.when(k % 5 == 0, "own").alias("underlying_name"))
+    return directories.with_underlying_names(s, "ticker", "name", "underlying", "underlying_name").select("s_suppkey", "underlying_name")
