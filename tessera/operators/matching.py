@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.text import BUSINESS_TOKENS, LEGAL_TOKENS, name_tokens
+from tessera.functions.text import BUSINESS_TOKENS, LEGAL_TOKENS, fold_squeeze, name_tokens
 
 
 def token_match(left: DataFrame, right: DataFrame, left_id: str, right_id: str, name: str, least: int = 2) -> DataFrame:
@@ -84,11 +84,23 @@ def sequence_ratio(a: Column, b: Column) -> Column:
     return ratio(a, b)
 
 
+# Words of a bank's name that do not tell it apart.
+BANK_NOISE = ("CIA", "COMPANHIA", "DA", "DE", "DO", "HOLDING", "S", "SA", "SOCIEDADE")
+
+
 def institution_match(left: DataFrame, right: DataFrame, left_id: str, right_id: str, name: str, accept: float = 0.30) -> DataFrame:
-    """The best right row by 0.65 x token overlap over the smaller set + 0.35 x sequence ratio, among rows that share a token."""
-    noise = LEGAL_TOKENS
-    l = left.select(left_id, name_tokens(F.col(name), noise).alias("lt"))
-    r = right.select(right_id, name_tokens(F.col(name), noise).alias("rt"))
-    scored = token_pairs(l, r, left_id, right_id).withColumn("score", 0.65 * F.col("overlap") / F.least(F.size("lt"), F.size("rt")) + 0.35 * sequence_ratio(F.array_join("lt", " "), F.array_join("rt", " ")))
-    best = scored.where(F.col("score") >= accept).withColumn("_rank", F.row_number().over(Window.partitionBy(left_id).orderBy(F.col("score").desc(), right_id)))
-    return best.where("_rank = 1").select(left_id, right_id, F.round("score", 6).alias("score"))
+    """The best right row by 0.65 x token overlap over the smaller set + 0.35 x likeness of the folded names, among rows that share a token.
+
+    Equal names are scored once; of equal scores the smallest right_id wins. Null names match nothing.
+    """
+    words = F.transform(F.split(fold_squeeze(F.col(name)), " "), lambda t: F.when(t == "BCO", "BANCO").otherwise(t))
+
+    def named(df: DataFrame, key: str, text: str, tokens: str) -> DataFrame:
+        return df.where(F.col(name).isNotNull()).select(key, F.array_join(words, " ").alias(text), F.filter(F.array_distinct(words), lambda t: ~t.isin(*BANK_NOISE)).alias(tokens))
+
+    l, r = named(left, left_id, "ln", "lt"), named(right, right_id, "rn", "rt")
+    asked, listed = l.select("ln", "lt").distinct(), r.groupBy("rn", "rt").agg(F.min(right_id).alias(right_id))
+    shared = token_pairs(asked, listed, "ln", "rn").join(listed.select("rn", right_id), "rn")
+    scored = shared.withColumn("score", 0.65 * F.col("overlap") / F.least(F.size("lt"), F.size("rt")) + 0.35 * sequence_ratio(F.col("ln"), F.col("rn")))
+    best = scored.where(F.col("score") >= accept).withColumn("_rank", F.row_number().over(Window.partitionBy("ln").orderBy(F.col("score").desc(), right_id))).where("_rank = 1")
+    return l.join(best.select("ln", right_id, "score"), "ln").select(left_id, right_id, F.round("score", 6).alias("score"))

@@ -12,6 +12,7 @@ from tessera.functions import profiles as P
 from tessera.operators import frames as R
 from tessera.operators.distributions import in_period, merged_distributions
 from tessera.operators.institutions import conglomerate_codes, first_filled_quarter
+from tessera.operators.matching import institution_match
 from tessera.plans.facts import ORACLE, QUERIES
 from tessera.plans.queries import _ORDERS, _SUPPLIER_YEARS, _r, _t, customer_orders, query, supplier_years
 from tessera.sources import directories, filings, fund_reports
@@ -220,3 +221,11 @@ def borrowed_names(spark, sf_dir):
     k = F.col("s_suppkey")
     s = _t(spark, sf_dir, "supplier").select(k, F.concat(F.lit("S"), k).alias("ticker"), F.when(k % 2 == 0, F.col("s_name")).alias("name"), F.when(k % 3 > 0, F.concat(F.lit("s"), (k + 1).cast("string"))).alias("underlying"), F.when(k % 5 == 0, "own").alias("underlying_name"))
     return directories.with_underlying_names(s, "ticker", "name", "underlying", "underlying_name").select("s_suppkey", "underlying_name")
+
+
+@query("SELECT n_nationkey, n_nationkey AS institution, 1.0::DOUBLE AS score FROM nation")
+def institution_names(spark, sf_dir):
+    """Nations as banks, abbreviated on one side and in full on the other: each finds itself, wholly alike."""
+    n = _t(spark, sf_dir, "nation")
+    asked = n.select("n_nationkey", F.concat(F.lit(" Bco "), F.lower("n_name")).alias("name"))
+    return institution_match(asked, n.select(F.col("n_nationkey").alias("institution"), F.concat(F.lit("Banco "), F.col("n_name")).alias("name")), "n_nationkey", "institution", "name")

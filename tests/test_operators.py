@@ -75,3 +75,10 @@ def test_exact_median(spark):
     assert got == {"a": (30011, 15005.0), "b": (2, 2.5), None: (1, 3.0), "d": (2100, 5.0)}
     even = spark.createDataFrame([("a", float(k)) for k in range(50000)], "k string, v double")
     assert R.exact_median(even, ["k"], "v", "m").first()["m"] == 24999.5
+
+
+def test_institution_scores(spark):
+    left = spark.createDataFrame([(1, "Bco Alfa S.A."), (2, "bco alfa s.a."), (3, "Caixa"), (4, None), (5, "Banco Gama")], "l int, name string")
+    right = spark.createDataFrame([(9, "BANCO ALFA S.A."), (8, "Banco Alfa S.A."), (7, "Banco Beta"), (6, None)], "r int, name string")
+    got = {r["l"]: (r["r"], r["score"]) for r in institution_match(left, right, "l", "r", "name").collect()}
+    assert got[1] == got[2] == (8, 1.0) and set(got) == {1, 2, 5} and got[5][0] == 7
