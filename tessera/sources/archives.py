@@ -63,7 +63,8 @@ def _member(opened: zipfile.ZipFile, archive: str, name: str, number: int, encod
 
 def text_lines(spark: SparkSession, path: str, encoding: str = "ISO-8859-1") -> DataFrame:
     """Plain files in the same columns; the header is the first line of each file."""
-    lines = spark.read.option("encoding", encoding).option("wholetext", "false").text(path).select(F.col("_metadata.file_path").alias("archive"), F.monotonically_increasing_id().alias("place"), F.col("value").alias("text"))
+    raw = F.decode(F.col("value").cast("binary"), encoding)  # the text source itself keeps bytes as they are
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("archive"), F.monotonically_increasing_id().alias("place"), raw.alias("text"))
     first = lines.groupBy("archive").agg(F.min_by("text", "place").alias("header"), F.min("place").alias("from"))
     number = F.row_number().over(Window.partitionBy("archive").orderBy("place")) - 1
     return lines.join(F.broadcast(first), "archive").select("archive", F.col("archive").alias("member"), F.lit(0).alias("member_no"), number.cast("long").alias("line_no"), "header", "text")
