@@ -8,7 +8,7 @@ import duckdb
 import pytest
 
 import __spark_entry__
-from tessera.plans.filings import ORACLE, QUERIES
+from tessera.plans.pages import ORACLE, QUERIES
 
 
 def plain(value):
