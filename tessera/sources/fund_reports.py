@@ -24,6 +24,7 @@ TOTALS = {
 }
 LIABILITIES = "Total_Passivo"
 ASSETS = ("CNPJ_Fundo_Classe", "CNPJ_Fundo", "Data_Referencia", LIABILITIES, *dict.fromkeys(c for total, parts in TOTALS.values() for c in (total, *parts) if c))
+AGRO = ("CNPJ_Classe", "Nome_Classe", "Codigo_ISIN", *(c for c in COMPLEMENT if not c.startswith("CNPJ")))
 FILE_ORDER = ("archive", "member_no", "line_no")
 
 
@@ -114,3 +115,16 @@ def portfolio_shares(reports: DataFrame) -> DataFrame:
     """Each report with its shares of property, credit and liquid assets, and of liabilities, in total assets."""
     parts = {"property_share": "property_assets", "credit_share": "credit_assets", "liquid_share": "liquid_assets", "leverage": "total_liabilities"}
     return reports.withColumns({name: ratio_positive(F.col(of).cast("double"), F.col("total_assets").cast("double")) for name, of in parts.items()})
+
+
+def agro_rows(lines: DataFrame) -> DataFrame:
+    """Rows of agro-chain archives, the member of classes alone, under the names of the other funds' members."""
+    rows = quoted(first_member(lines, "inf_mensal_fiagro_", "subclasse"), AGRO).withColumnsRenamed({"CNPJ_Classe": "CNPJ_Fundo_Classe", "Nome_Classe": "Nome_Fundo_Classe"})
+    return rows.withColumns({"CNPJ_Fundo": F.lit(None).cast("string"), "Nome_Fundo": F.lit(None).cast("string")}).where(iso_date(_text("Data_Referencia")).isNotNull() & (comma_decimal(F.col(NAV)) > 0))
+
+
+def agro_reports(rows: DataFrame) -> DataFrame:
+    """One row per fund and date, the last in file order: as ``monthly_reports``, from percentages; what its archive lacks is null."""
+    shares = [(comma_decimal(_first_text(names)) / 100).cast("decimal(38,12)").alias(name) for name, names in SHARES.items()]
+    values = rows.select(*FILE_ORDER, fund_id().alias("fund"), iso_date(_text("Data_Referencia")).alias("as_of"), comma_decimal(F.col(NAV)).alias("nav_per_share"), comma_decimal(F.col(NET_ASSETS)).alias("net_assets"), comma_decimal(_first_text(ISSUED)).alias("issued_shares"), comma_decimal(_first_text(HOLDERS)).alias("shareholder_count"), annual_fee(F.col(FEE), percentage_points=True).alias("administration_fee_ratio"), *shares)
+    return keep_best(values.where("fund is not null"), ["fund", "as_of"], [F.col(c).desc() for c in FILE_ORDER]).drop(*FILE_ORDER)

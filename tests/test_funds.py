@@ -49,3 +49,15 @@ def test_distributions(spark):
     assert got == {(days[0], 7, "events"), (days[1], 2, "events"), (days[2], 4, "stated")}
     at = F.lit("2024-01-02").cast("date")
     assert {p: sorted(r["n"] for r in D.in_period(events, p, at).collect()) for p in ("all", "past", "future", "upcoming_ex_date")} == {"all": [1, 2, 3, 4, 5, 6], "past": [2], "future": [1], "upcoming_ex_date": [3, 4]}
+
+
+def test_agro_reports(spark):
+    head = "CNPJ_Classe;Nome_Classe;Data_Referencia;Codigo_ISIN;Valor_Patrimonial_Cotas;Dividend_Yield_Mes;Rentabilidade_Patrimonial_Mes;Rentabilidade_Efetiva_Mes"
+    texts = [head, "11.111.111/0001-11;AGRO UM;2026-06-01;BRAGRO000001;9,5;1,2;0,5;0,7", "11.111.111/0001-11;AGRO UM;2026-06-01;BRAGRO000001;10,5;1,1;;x", "22.222.222/0001-22;AGRO DOIS;2026-06-01;BRAGRO000009;0;1;1;1", "33.333.333/0001-33;OUTRO;x;BRAGRO000001;1;1;1;1"]
+    members = {"inf_mensal_fiagro_subclasse_202606.csv": [head, "9;NO;2026-06-01;BRAGRO000001;1;1;1;1"], "inf_mensal_fiagro_202606.csv": texts}
+    rows = [("a.zip", name, k, n, t[0], text) for k, (name, t) in enumerate(members.items()) for n, text in enumerate(t)]
+    read = S.agro_rows(spark.createDataFrame(rows, "archive string, member string, member_no int, line_no long, header string, text string"))
+    wanted = spark.createDataFrame([("AGRO11", "BRAGRO0000XX", "Agro Um")], "ticker string, isin string, name string")
+    assert [tuple(r) for r in S.matched_funds(read, wanted, "ticker", "isin", "name").collect()] == [("AGRO11", "11111111000111")]
+    (r,) = S.agro_reports(read).collect()
+    assert (r["fund"], r["as_of"], r["nav_per_share"], r["monthly_distribution_yield"], r["monthly_nav_return"], r["monthly_effective_return"], r["net_assets"]) == ("11111111000111", DAY, Decimal("10.5"), Decimal("0.011"), None, None, None)
