@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from tessera.operators.stock_facts import RATIOS, stock_facts
 from tessera.plans.pages import ORACLE, QUERIES
-from tessera.plans.queries import _RATES, _SUPPLIER_YEARS, _r, _rates, _t, query, supplier_years
-from tessera.sources import market_documents
+from tessera.plans.queries import _ORDERS, _RATES, _SUPPLIER_YEARS, _r, _rates, _t, customer_orders, query, supplier_years
+from tessera.sources import bulletins, market_documents
 
 __all__ = ["ORACLE", "QUERIES"]  # those of all modules
 
@@ -116,3 +116,35 @@ def fund_documents(spark, sf_dir):
     docs = _t(spark, sf_dir, "part").select("p_partkey", F.when(F.col("p_partkey") % 6 == 0, F.lit('{"Note": "later"}')).otherwise(full).alias("doc"))
     read = market_documents.fund_profiles(docs, "p_partkey", "doc").select("p_partkey", "net_assets", "inception_date", F.size("sectors").cast("long").alias("sectors"), F.explode("holdings").alias("h"))
     return read.select("p_partkey", _r(F.col("net_assets"), 2).alias("net_assets"), "inception_date", F.col("h.symbol").alias("holding"), F.col("h.weight").cast("double").alias("weight"), "sectors")
+
+
+_TYPES = ["stock", "bdr", "fund", "etf", "fiagro", "unit"]
+
+
+@query(f"""
+    SELECT 'P' || p_partkey AS ticker, p_name AS name, ([{', '.join(f"'{t}'" for t in _TYPES)}])[p_partkey % 6 + 1] AS raw_type, 'B3' AS exchange, 'BR' AS country,
+        CASE p_partkey % 6 WHEN 2 THEN CASE WHEN p_partkey % 100 = 11 THEN 'fii' ELSE 'unknown' END ELSE ([{', '.join(f"'{t}'" for t in _TYPES)}])[p_partkey % 6 + 1] END AS instrument_type FROM part
+""")
+def local_directory_entries(spark, sf_dir):
+    """Each part as an entry of a directory document, in three shapes; a later entry with its ticker does not count."""
+    kind = F.element_at(F.array(*map(F.lit, _TYPES)), (F.col("p_partkey") % 6 + 1).cast("int"))
+    entry = _json('{"stock": " p<key>", "type": "<kind>", "name": "<name>"}', key=F.col("p_partkey"), kind=kind, name=F.col("p_name"))
+    both = F.concat(F.lit("["), entry, F.lit(', 7, {"ticker": "P'), F.col("p_partkey"), F.lit('", "type": "etf"}]'))
+    doc = F.when(F.col("p_partkey") % 5 == 0, both).when(F.col("p_partkey") % 5 == 1, F.concat(F.lit('{"other": '), both, F.lit(', "n": 1}'))).otherwise(F.concat(F.lit('{"stocks": '), both, F.lit("}")))
+    docs = _t(spark, sf_dir, "part").select("p_partkey", doc.alias("doc"))
+    return bulletins.local_directory(docs, "doc", "p_partkey").select("ticker", "name", "raw_type", "exchange", "country", "instrument_type")
+
+
+@query(f"""
+    WITH o AS (SELECT o_orderkey, day, 'C' || to_base(o_custkey % 46656, 36, 3) || '3' AS ticker FROM ({_ORDERS})), b AS (SELECT DISTINCT day AS seen, ticker FROM o)
+    SELECT o_orderkey, CASE WHEN seen >= day - 7 THEN seen END AS seen, CASE WHEN seen >= day - 7 THEN 'I' || CAST(seen AS VARCHAR) END AS isin
+    FROM (SELECT *, day - 1 AS until FROM o) x ASOF LEFT JOIN b ON x.ticker = b.ticker AND x.until >= b.seen
+""")
+def bulletin_lookup(spark, sf_dir):
+    """For each order its customer's line of a bulletin in the seven days before; a document a customer and day."""
+    code = F.concat(F.lit("C"), F.lpad(F.conv((F.col("o_custkey") % 46656).cast("string"), 10, 36), 3, "0"), F.lit("3"))
+    orders = customer_orders(spark, sf_dir).select("o_orderkey", "day", code.alias("ticker"))
+    doc = _json('{"table": {"columns": [{"name": "TckrSymb"}, {"name": "SgmtNm"}, {"name": "ISIN"}, {"name": "CrpnNm"}], "values": [["<a>", "FORWARD", "no", "x"], ["<b>", "CASH", "I<day>", "Co"]]}}', a=F.col("ticker"), b=F.col("ticker"), day=F.col("day"))
+    rows = bulletins.bulletin_instruments(orders.select("day", "ticker").distinct().select("day", doc.alias("doc")), "day", "doc")
+    found = bulletins.latest_instruments(orders.withColumnRenamed("day", "at"), rows.select("day", "ticker", "isin"), "ticker", "at")
+    return found.select("o_orderkey", F.col("day").alias("seen"), "isin")
