@@ -7,6 +7,8 @@ import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -46,9 +48,42 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     path = new_folder(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     # The schema is given so that an empty table, which may hold no part file, reads back as well.
-    out = spark.read.schema(df.schema).parquet(path)
-    out.staged_at = path
-    return out
+    return owned_table(spark.read.schema(df.schema).parquet(path), path)
+
+
+#: The staged tables of the innermost open scratch, if any.
+_SCRATCH: ContextVar[list[DataFrame] | None] = ContextVar("scratch", default=None)
+
+
+def owned_table(df: DataFrame, path: str) -> DataFrame:
+    """``df``, which reads the folder ``path``, as a staged table of the open scratch."""
+    df.staged_at = path
+    if (held := _SCRATCH.get()) is not None:
+        held.append(df)
+    return df
+
+
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Owns the tables staged inside and deletes them at its end; those given to ``keep`` go to the scratch around it."""
+    held: list[DataFrame] = []
+    token = _SCRATCH.set(held)
+    try:
+        yield
+    finally:
+        _SCRATCH.reset(token)
+        kept = [df for df in held if getattr(df, "kept", False)]
+        drop(*(df for df in held if not any(df is k for k in kept)))
+        if (outer := _SCRATCH.get()) is not None:
+            for df in kept:
+                df.kept = False
+                outer.append(df)
+
+
+def keep(staged: DataFrame) -> DataFrame:
+    """Spare a staged table that the result still reads."""
+    staged.kept = True
+    return staged
 
 
 def drop(*staged: DataFrame) -> None:

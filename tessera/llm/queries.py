@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import pii, secrets, toxicity
+from tessera.llm import clustering, language, pii, prefix_trie, secrets, toxicity
 from tessera.llm.ann import nearest
 from tessera.llm.byte_bpe import digests
 from tessera.llm.common import table
@@ -55,6 +55,18 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op11_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.clusters(table(spark, sf_dir, "embeddings"))
+
+
+def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(table(spark, sf_dir, "documents"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     "op1_token_store": op1_token_store,
     "op2_packing": op2_packing,
@@ -66,6 +78,9 @@ QUERIES = {
     "op8_byte_bpe": op8_byte_bpe,
     "op9_collision_ann": op9_collision_ann,
     "op10_exact_dedup": op10_exact_dedup,
+    "op11_centroid_clusters": op11_centroid_clusters,
+    "op12_language_id": op12_language_id,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 ORACLE_SQL = {
@@ -74,4 +89,6 @@ ORACLE_SQL = {
              g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM n GROUP BY t)
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t) AS text_sha256 FROM n JOIN g USING (t)
     """,
+    "op11_centroid_clusters": clustering.oracle(),
+    "op13_prefix_trie": prefix_trie.ORACLE,
 }
