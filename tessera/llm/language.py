@@ -34,6 +34,8 @@ from tessera.llm.toxicity import is_held_out
 PER_LANGUAGE, SAMPLE, LEAST = 1000, 8000, 20
 BUCKET_BITS, LONGEST, SLAB = 16, 3, 1 << 18
 EPOCHS, RATE, SCALE, TRIES = 6, 0.5, 20.0, 200
+#: A table of this many languages at most, a row each, is broadcast.
+FEW = 10_000
 #: Below this difference between the shares of the first and the second language a text is ambiguous.
 CLOSE = 0.2
 UNKNOWN = "und"
@@ -202,6 +204,8 @@ def fit(docs: DataFrame) -> Model:
     # About 1.2 times the sample is drawn by a threshold on a hash, so nothing is sorted or moved; the rest is cut off below.
     most = max(LEAST, min(PER_LANGUAGE, SAMPLE // len(languages)))
     limits = docs.sparkSession.createDataFrame([(k, min(1.0, (1.2 * most + 30) / n)) for k, n in counts.items()], "lang string, part double")
+    if len(counts) <= FEW:
+        limits = F.broadcast(limits)
     drawn = known.withColumn("place", F.xxhash64("doc_id", "text")).join(limits, "lang").where(F.pmod("place", F.lit(1 << 20)) < F.col("part") * (1 << 20)).select("lang", "place", "text")
     found = drawn.mapInArrow(frugal(_samples({k: i for i, k in enumerate(languages)})), "language int, place long, back boolean, buckets binary, shares binary").collect()
     rows, places = [], [set() for _ in languages]
