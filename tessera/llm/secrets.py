@@ -9,10 +9,12 @@ lag-one serial correlation.
 
 * Against uniform noise in that alphabet: what they reject at level ``NOISE_LEVEL`` is no random string.
 * Against ordinary text: written words have favoured letters, few changes between letters and digits or from small to
-  capital letters, and vowels that alternate with consonants. The three one-sided p-values are combined by Fisher's
-  rule, and this is the null hypothesis that false discovery counts: within each class of encoding and length (short
-  candidates have little power, so they are judged among their like) the Benjamini-Hochberg rule at level ``fdr`` picks
-  those that are not ordinary text. Of them the ones that could be noise are reported.
+  capital letters, and vowels that alternate with consonants. Where letters stand alone, which letters are favoured is asked as
+  well: their likelihood under the letter frequencies of European languages. The one-sided p-values of the tests that can
+  speak are combined by Fisher's rule, and this is the null hypothesis that false discovery counts: within each class of encoding and
+  length (short candidates have little power, so they are judged among their like) the Benjamini-Hochberg rule at level ``fdr``
+  picks those that are not ordinary text. Of them the ones that could be noise are reported. Runs of digits (and signs) are no words
+  at all: the tests against noise alone decide on them, at level ``DIGIT_LEVEL``.
 
 Where equals signs stand inside a run, what follows the first and each side of 20 or more characters are tested, and the
 run is reported once if any of them is found. The rule runs on a histogram of logarithms of p-values, whose size doesn't
@@ -27,6 +29,8 @@ table gives an empty result; other columns are ignored (the operator reads and r
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -46,7 +50,12 @@ BINS_A_POWER, BINS, MIN_RANDOM, NOISE_LEVEL = 50, 1500, 20, 1e-4
 WORTH = 0.25
 #: Ordinary text: the chance that two, and three, of its letters (case folded) or digits are the same; the share of places where a
 #: letter and a digit meet or a capital follows a small letter; the serial correlation of vowels, with room to spare.
-SAME_LETTERS, SAME_DIGITS, CHANGES, VOWELS_SERIAL = (0.065, 0.0055), (0.12, 0.018), 0.2, -0.25
+SAME_LETTERS, CHANGES, VOWELS_SERIAL = (0.065, 0.0055), 0.2, -0.25
+#: Parts of the letters a to z in running English, French, German and Spanish, rounded, in thousandths; how much more their
+#: likelihood varies in written words than in letters drawn alone.
+LETTERS, LETTER_SPREAD = (89, 15, 32, 44, 149, 14, 18, 31, 72, 5, 6, 46, 27, 76, 59, 22, 7, 67, 72, 70, 48, 12, 11, 3, 9, 6), 2.0
+#: At this level the tests against noise pick the runs of digits that are no random number.
+DIGIT_LEVEL = 0.01
 
 SPAN = "array<struct<start:bigint,kind:int,end:bigint>>"
 ALPHABETS = {
@@ -178,8 +187,13 @@ def _lower_tail(count: Column, mean: Column, variance: Column) -> Column:
 
 
 def ordinary_p(token: Column) -> Column:
-    """Fisher's combination of three one-sided tests of the hypothesis that the token is ordinary text."""
-    same2, same3 = ([F.when(F.rlike(token, F.lit("[A-Za-z]")), F.lit(SAME_LETTERS[k])).otherwise(F.lit(SAME_DIGITS[k])) for k in (0, 1)])
+    """Fisher's combination of up to three one-sided tests of the hypothesis that the token is ordinary text; 0 for digits alone."""
+    same2, same3 = SAME_LETTERS
+    logs = [math.log(x / sum(LETTERS)) for x in LETTERS]
+    mean = sum(x * y for x, y in zip(LETTERS, logs, strict=True)) / sum(LETTERS)
+    spread = LETTER_SPREAD * (sum(x * y * y for x, y in zip(LETTERS, logs, strict=True)) / sum(LETTERS) - mean * mean)
+    with_digits, with_letters = F.rlike(token, F.lit("[0-9]")), F.rlike(token, F.lit("[A-Za-z]"))
+    one_case = ~F.rlike(token, F.lit("[a-z]")) | ~F.rlike(token, F.lit("[A-Z]"))
 
     def flat(chars: Column, n: Column) -> Column:
         """Fewer equal pairs of characters than favoured letters would make."""
@@ -187,6 +201,12 @@ def ordinary_p(token: Column) -> Column:
         variance = 4 * n * (n - 1) * (n - 2) * (same3 - same2 * same2) + 2 * n * (n - 1) * (same2 - same2 * same2)
         return _lower_tail(pairs, n * (n - 1) * same2, variance)
 
+    def likely(folded: Column) -> Column:
+        """Letters less likely than those of words."""
+        table = F.array(*map(F.lit, logs))
+        found = F.transform(F.filter(folded, lambda c: c.between("a", "z")), lambda c: F.get(table, F.ascii(c) - ord("a")))
+        return let(found, lambda f: _lower_tail(_total(f), F.size(f) * mean, F.size(f) * spread))
+
     def neighbours(values: Column, join) -> Column:
         return F.zip_with(F.slice(values, F.lit(1), F.size(values) - 1), F.slice(values, F.lit(2), F.size(values) - 1), join)
 
@@ -204,17 +224,18 @@ def ordinary_p(token: Column) -> Column:
         return let(let(_total(vowels) / n, lambda mean: F.transform(vowels, lambda c: c - mean)), test)
 
     def combined(x: Column) -> Column:
-        logs = -(F.log(_small(x["a"])) + F.log(_small(x["b"])) + F.log(_small(x["c"])))
-        return let(logs, lambda h: F.exp(-h) * (1 + h + h * h / 2))
+        two = -(F.log(_small(x["a"])) + F.log(_small(x["c"])))
+        # In letters of one case no change of kind is possible.
+        return F.when(x["b"].isNull(), let(two, lambda h: F.exp(-h) * (1 + h))).otherwise(let(two - F.log(_small(x["b"])), lambda h: F.exp(-h) * (1 + h + h * h / 2)))
 
     def tests(x: Column) -> Column:
         chars, n = x["chars"], F.size(x["chars"]).cast("double")
         folded = F.transform(chars, F.lower)
         kinds = F.transform(chars, lambda c: F.when(c.between("0", "9"), 1).when(c.between("a", "z"), 2).when(c.between("A", "Z"), 3).otherwise(0))
         vowels = F.transform(folded, lambda c: F.when(F.instr(F.lit("aeiouy"), c) > 0, F.lit(1.0)).otherwise(F.lit(0.0)))
-        return let(F.struct(let(folded, lambda f: flat(f, n)).alias("a"), let(kinds, lambda k: restless(k, n)).alias("b"), let(vowels, lambda v: serial(v, n)).alias("c")), combined)
+        return let(F.struct(let(folded, lambda f: F.when(with_digits, flat(f, n)).otherwise(likely(f))).alias("a"), F.when(with_digits | ~one_case, let(kinds, lambda k: restless(k, n))).alias("b"), let(vowels, lambda v: serial(v, n)).alias("c")), combined)
 
-    return let(F.struct(F.regexp_extract_all(token, F.lit("(.)"), F.lit(1)).alias("chars")), tests)
+    return F.when(with_letters, let(F.struct(F.regexp_extract_all(token, F.lit("(.)"), F.lit(1)).alias("chars")), tests)).otherwise(F.lit(0.0))
 
 
 def encoding(token: Column) -> Column:
@@ -300,7 +321,8 @@ def random_spans(limits: dict[tuple[str, int], int]) -> Column:
 
     def secret(c: Column) -> Column:
         key = F.concat(c["encoding"], F.lit("/"), length_class(c["length"]).cast("string"))
-        return (c["noise"] >= NOISE_LEVEL) & (p_bin(c["p"]) >= F.coalesce(F.try_element_at(table, key), F.lit(BINS)))
+        level = F.when(c["encoding"].startswith("digits"), F.lit(DIGIT_LEVEL)).otherwise(F.lit(NOISE_LEVEL))
+        return (c["noise"] >= level) & (p_bin(c["p"]) >= F.coalesce(F.try_element_at(table, key), F.lit(BINS)))
 
     return F.array_distinct(_numbered(F.filter("candidates", secret), 3))
 

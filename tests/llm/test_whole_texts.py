@@ -36,7 +36,24 @@ def test_random_letters_digits_and_values_before_an_equals_sign(spark):
     assert got[2000].count("random") <= 1
 
 
-def test_an_open_list_is_dealt_over_parts_and_loses_no_pair(spark):
+@pytest.mark.parametrize("n", [20, 24, 40])
+def test_rates_of_letters_and_digits_by_length(spark, n):
+    """What is found of random strings without digits, and of digits alone, at each length; written words stay."""
+    rng = random.Random(n)
+    lower = "abcdefghijklmnopqrstuvwxyz"
+    rows = [(100 * kind + k, f"see {''.join(rng.choice(letters) for _ in range(n))} end") for kind, letters in enumerate([lower, lower.upper(), lower + lower.upper(), "0123456789"]) for k in range(50)]
+    words = ["people", "water", "little", "should", "because", "though", "market", "garden", "being", "never", "house", "other", "found", "still", "between", "country"]
+    rows += [(1000 + k, "see " + "".join(rng.choice(words) for _ in range(rng.randint(5, 8))) + " end") for k in range(400)]
+    rows += [(2000, "see 00000000000000000000 11111111112222222222333 99999999999999999999 end")]
+    got = {r["doc_id"]: r["spans"] for r in secrets.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    least = {20: [40, 40, 33, 45], 24: [43, 43, 38, 45], 40: [46, 46, 46, 45]}[n]
+    for kind in range(4):
+        assert sum("random" in got[100 * kind + k] for k in range(50)) >= least[kind], kind
+    assert sum("random" in got[1000 + k] for k in range(400)) <= 4 and "random" not in got[2000]
+
+
+def test_an_open_list_is_dealt_over_parts_and_loses_no_pair(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "PART_MEMBERS", 64)
     nodes = [(7, 64, k, k, bytes(ngram_join.parity_map(np.arange(64, dtype=np.uint64)))) for k in range(300)]
     lists = spark.createDataFrame(nodes, "shingle long, n long, node long, component long, map binary")
     found, met, leaders = lists, set(), 64
