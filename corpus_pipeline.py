@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import secrets
 from tessera.llm import toxicity as tox
-from tessera.llm.common import stage, table
+from tessera.llm.common import drop, keep, scratch, stage, table
 from tessera.llm.exact_dedup import exact_dedup
 from tessera.llm.ngram_join import near_components
 from tessera.llm.packing import pack
@@ -63,7 +63,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    documents = docs = table(spark, sf_dir, "documents")
     for name, step in STAGES[:-1]:
-        docs = stage(step(spark, docs, sf_dir), name)
+        before = docs
+        with scratch():  # what a stage staged on its way goes when its result is written, and so does the result before it
+            docs = keep(stage(step(spark, before, sf_dir), name))
+        if before is not documents:
+            drop(before)
     return STAGES[-1][1](spark, docs, sf_dir)
