@@ -9,6 +9,7 @@ from tessera.functions.numeric import ratio_positive
 from tessera.functions.text import annual_fee, comma_decimal, digits, fold_squeeze, iso_date
 from tessera.operators.frames import keep_best
 from tessera.operators.matching import sequence_ratio
+from tessera.sources.records import named
 
 # Column names of the members; several names for a value are tried in order.
 GENERAL = ("CNPJ_Fundo_Classe", "CNPJ_Fundo", "Nome_Fundo_Classe", "Nome_Fundo", "Codigo_ISIN", "Data_Referencia", "Quantidade_Cotas_Emitidas", "Data_Funcionamento", "Segmento_Atuacao", "Nome_Administrador")
@@ -38,15 +39,9 @@ def first_member(lines: DataFrame, included: str, excluded: str | None = None) -
 def quoted(lines: DataFrame, columns: tuple[str, ...], separator: str = ";") -> DataFrame:
     """The named columns of records whose fields may stand in quotes; short rows end in nulls, blank ones are skipped.
 
-    A quoted field may hold separators and doubled quotes, but no line break.
+    Where fields hold line breaks, ``lines`` is what ``records.whole_records`` gives.
     """
-    apart = f'{separator}(?=(?:[^"]*"[^"]*")*[^"]*$)'
-
-    def fields(text: str) -> Column:
-        return F.transform(F.split(text, apart, -1), lambda f: F.regexp_replace(F.regexp_replace(f, r'^"([\s\S]*)"$', "$1"), '""', '"'))
-
-    cut = lines.where("line_no > 0 and trim(text) <> ''").withColumns({"fields": fields("text"), "names": fields("header")})
-    return cut.select(*FILE_ORDER, *(F.get("fields", (F.array_position("names", F.lit(c)) - 1).cast("int")).alias(c) for c in columns))
+    return named(lines, columns, separator).drop("member")
 
 
 def _text(column: str) -> Column:
