@@ -65,6 +65,7 @@ def whole_records(lines: DataFrame, separator: str = ";") -> DataFrame:
     """``lines`` with those of one record joined: ``line_no`` is that of its first line, ``header`` the member's first record.
 
     Columns: archive, member, member_no, line_no (from 0, without gaps in a member), header, text. Rows without a line number stay as they are.
+    ``lines`` is read several times: give a written table where reading it is dear.
     """
     names = ["archive", "member", "member_no", "line_no", "header", "text"]
     member = ["archive", "member_no"]

@@ -8,7 +8,7 @@ import duckdb
 import pytest
 
 import __spark_entry__
-from tessera.plans.stocks import ORACLE, QUERIES
+from tessera.plans.registry import ORACLE, QUERIES
 
 
 def plain(value):
