@@ -13,13 +13,21 @@ from tessera.functions.text import BUSINESS_TOKENS, LEGAL_TOKENS, fold_squeeze,
 
 
 def token_match(left: DataFrame, right: DataFrame, left_id: str, right_id: str, name: str, least: int = 2) -> DataFrame:
-    """left_id, right_id, overlap: the right row that shares most name tokens; ambiguity gives no match.
+    """left_id, right_id, overlap: the right row that shares most name tokens, ``least`` at least; ambiguity gives no match.
 
-    Token lists meet by an equi-join on the token, so only pairs that share one are made.
+    Names that share ``least`` tokens share one that is not among the ``least - 1`` most frequent of either, so names meet there
+    only: with two asked for, a word that all names hold makes no pairs. Rows without an id match nothing.
     """
-    a = left.select(left_id, F.explode(name_tokens(F.col(name))).alias("token"))
-    b = right.select(right_id, F.explode(name_tokens(F.col(name))).alias("token"))
-    shared = a.join(b, "token").groupBy(left_id, right_id).agg(F.count("*").alias("overlap")).where(F.col("overlap") >= least)
+    tokens = F.array_distinct(name_tokens(F.col(name)))
+    a, b = left.select(left_id, tokens.alias("lt")).where(F.col(left_id).isNotNull()), right.select(right_id, tokens.alias("rt")).where(F.col(right_id).isNotNull())
+    often = a.select(F.explode("lt").alias("token")).unionAll(b.select(F.explode("rt").alias("token"))).groupBy("token").agg(F.count("*").alias("often"))
+
+    def filed(df: DataFrame, key: str, side: str) -> DataFrame:
+        rank = F.row_number().over(Window.partitionBy(key, side).orderBy(F.col("often").desc(), F.col("token").desc()))
+        return df.select(key, side, F.explode(side).alias("token")).join(often, "token").withColumn("rank", rank).where(F.col("rank") >= least).select(key, side, "token")
+
+    met = filed(a, left_id, "lt").join(filed(b, right_id, "rt"), "token").drop("token").distinct()
+    shared = met.withColumn("overlap", F.size(F.array_intersect("lt", "rt")).cast("long")).where(F.col("overlap") >= least).groupBy(left_id, right_id).agg(F.max("overlap").alias("overlap"))
     w = Window.partitionBy(left_id)
     best = shared.withColumn("top", F.max("overlap").over(w)).where("overlap = top").withColumn("ties", F.count("*").over(w))
     return best.where("ties = 1").select(left_id, right_id, "overlap")
@@ -84,14 +92,15 @@ def sequence_ratio(a: Column, b: Column) -> Column:
     return ratio(a, b)
 
 
-# Words of a bank's name that do not tell it apart.
+# The weights of shared tokens and of likeness in a score, and words of a bank's name that do not tell it apart.
+OVERLAP, LIKENESS = 0.65, 0.35
 BANK_NOISE = ("CIA", "COMPANHIA", "DA", "DE", "DO", "HOLDING", "S", "SA", "SOCIEDADE")
 
 
 def institution_match(left: DataFrame, right: DataFrame, left_id: str, right_id: str, name: str, accept: float = 0.30) -> DataFrame:
-    """The best right row by 0.65 x token overlap over the smaller set + 0.35 x likeness of the folded names, among rows that share a token.
+    """The best right row by 0.65 x token overlap over the smaller set + 0.35 x likeness of the folded names.
 
-    Equal names are scored once; of equal scores the smallest right_id wins. Null names match nothing.
+    Rows that share a token meet there; of the others those meet whose names are so alike that this alone is accepted. Equal names are scored once; of equal scores the smallest right_id wins. Null names match nothing.
     """
     words = F.transform(F.split(fold_squeeze(F.col(name)), " "), lambda t: F.when(t == "BCO", "BANCO").otherwise(t))
 
@@ -101,6 +110,13 @@ def institution_match(left: DataFrame, right: DataFrame, left_id: str, right_id:
     l, r = named(left, left_id, "ln", "lt"), named(right, right_id, "rn", "rt")
     asked, listed = l.select("ln", "lt").distinct(), r.groupBy("rn", "rt").agg(F.min(right_id).alias(right_id))
     shared = token_pairs(asked, listed, "ln", "rn").join(listed.select("rn", right_id), "rn")
-    scored = shared.withColumn("score", 0.65 * F.col("overlap") / F.least(F.size("lt"), F.size("rt")) + 0.35 * sequence_ratio(F.col("ln"), F.col("rn")))
+    from tessera.operators.similarity import similar_texts
+
+    alone = accept / LIKENESS
+    if alone <= 1:
+        alike = similar_texts(asked.withColumnRenamed("ln", "text"), listed.withColumnRenamed("rn", "text"), "text", alone).select(F.col("left_text").alias("ln"), F.col("right_text").alias("rn"))
+        far = alike.join(asked, "ln").join(listed, "rn").where(~F.arrays_overlap("lt", "rt"))
+        shared = shared.unionByName(far.select("ln", "rn", "lt", "rt", F.lit(0).cast("long").alias("overlap"), right_id))
+    scored = shared.withColumn("score", OVERLAP * F.col("overlap") / F.greatest(F.least(F.size("lt"), F.size("rt")), F.lit(1)) + LIKENESS * sequence_ratio(F.col("ln"), F.col("rn")))
     best = scored.where(F.col("score") >= accept).withColumn("_rank", F.row_number().over(Window.partitionBy("ln").orderBy(F.col("score").desc(), right_id))).where("_rank = 1")
     return l.join(best.select("ln", right_id, "score"), "ln").select(left_id, right_id, F.round("score", 6).alias("score"))

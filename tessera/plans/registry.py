@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.plans import records, statements, stocks
+from tessera.plans import names, records, statements, stocks
 from tessera.plans.queries import ORACLE, QUERIES
 
-__all__ = ["ORACLE", "QUERIES", "records", "statements", "stocks"]
+__all__ = ["ORACLE", "QUERIES", "names", "records", "statements", "stocks"]
