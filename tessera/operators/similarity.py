@@ -72,8 +72,10 @@ def similar_texts(left: DataFrame, right: DataFrame, text: str, limit: float) ->
     x, y = (kept.where(f"side = {k}").select("token", F.col("t").alias(name), F.char_length("t").alias(n)) for k, name, n in ((0, "left_text", "la"), (1, "right_text", "lb")))
     near = 2 * F.least("la", "lb") >= limit * (F.col("la") + F.col("lb")) - 1e-9
     met = x.join(y, "token").where(near & (F.col("left_text") != F.col("right_text"))).select("left_text", "right_text").distinct()
-    letters = lambda c: _numbered(_grams(F.col(c), 1))
-    both = F.size(F.array_intersect(letters("left_text"), letters("right_text")))
-    held = met.where(2 * both >= limit * (F.char_length("left_text") + F.char_length("right_text")) - 1e-9)
+    # The letters of a text are listed once, not for each of its pairs.
+    for side, name, own in ((a, "left_text", "_la"), (b, "right_text", "_lb")):
+        letters = F.transform(_numbered(_grams(F.col("t"), 1)), lambda x: F.concat(x["gram"], x["nth"].cast("string")))
+        met = met.join(side.select(F.col("t").alias(name), letters.alias(own)), name)
+    held = met.where(2 * F.size(F.array_intersect("_la", "_lb")) >= limit * (F.size("_la") + F.size("_lb")) - 1e-9).select("left_text", "right_text")
     scored = held.withColumn("likeness", sequence_ratio(F.col("left_text"), F.col("right_text"))).where(F.col("likeness") >= limit)
     return equal.unionByName(scored)
