@@ -26,6 +26,11 @@ MAGNITUDES = (("trilho|trilhao", 10**12), ("bilho|bilhao", 10**9), ("milho|milha
 MONEY_LABELS = "valor|cotacao|volume|vpa|lpa|preco"
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once for each row, however often it stands in there."""
+    return F.transform(F.array(value), body)[0]
+
+
 def squeeze(text: Column) -> Column:
     """Trimmed, with runs of white space as one space."""
     return F.trim(F.regexp_replace(F.translate(text, " ", " "), r"\s+", " "))
@@ -65,9 +70,11 @@ def digits(text: Column) -> Column:
 
 def br_decimal(text: Column, scale: int = 10) -> Column:
     """Points group thousands, a comma parts decimals; a letter means no number, other signs don't count."""
-    bare = F.regexp_replace(squeeze(text), r"R\$|%", "")
-    plain = F.regexp_replace(F.translate(F.translate(bare, ".", ""), ",", "."), r"[^0-9.\-+]", "")
-    return F.when(~null_like(text) & ~F.rlike(bare, F.lit("[A-Za-zÀ-ÿ]")), plain.try_cast(f"decimal(38,{scale})"))
+    def read(bare: Column) -> Column:
+        plain = F.regexp_replace(F.translate(F.translate(bare, ".", ""), ",", "."), r"[^0-9.\-+]", "")
+        return F.when(~F.rlike(bare, F.lit("[A-Za-zÀ-ÿ]")), plain.try_cast(f"decimal(38,{scale})"))
+
+    return let(text, lambda t: F.when(~null_like(t), let(F.regexp_replace(squeeze(t), r"R\$|%", ""), read)))
 
 
 def plain_decimal(text: Column, scale: int = 10) -> Column:
@@ -87,23 +94,31 @@ def page_decimal(text: Column, scale: int = 10) -> Column:
 
 def magnitude_decimal(text: Column, scale: int = 10) -> Column:
     """The first amount before a local price, scaled by the magnitude word in that text; also short forms such as 2.5B or (3 M)."""
-    reported = F.split(text, r"R\$")[0]
-    amount, key = page_decimal(F.regexp_extract(reported, r"-?\d[\d.]*(?:,\d+)?", 0), 6), lower_key(reported)
-    factor = F.lit(1)
-    for words, size in reversed(MAGNITUDES):
-        factor = F.when(F.rlike(key, F.lit(words)), F.lit(size)).otherwise(factor)
-    initial = F.upper(F.regexp_extract(reported, r"\d\s*([KMBTkmbt])\b", 1))
-    for letter, size in (("T", 10**12), ("B", 10**9), ("M", 10**6), ("K", 10**3)):
-        factor = F.when(initial == letter, F.lit(size)).otherwise(factor)
-    signed = F.when(F.rlike(reported, F.lit(r"\(\s*\d")), -amount).otherwise(amount)
-    return (signed * factor.cast("decimal(20,0)")).cast(f"decimal(38,{scale})")
+    def read(reported: Column) -> Column:
+        amount = page_decimal(F.regexp_extract(reported, r"-?\d[\d.]*(?:,\d+)?", 0), 6)
+        signed = let(amount, lambda a: F.when(F.rlike(reported, F.lit(r"\(\s*\d")), -a).otherwise(a))
+        initial = F.upper(F.regexp_extract(reported, r"\d\s*([KMBTkmbt])\b", 1))
+        return (signed * let(lower_key(reported), lambda key: let(initial, lambda i: size_of(key, i))).cast("decimal(20,0)")).cast(f"decimal(38,{scale})")
+
+    def size_of(key: Column, initial: Column) -> Column:
+        factor = F.lit(1)
+        for words, size in reversed(MAGNITUDES):
+            factor = F.when(F.rlike(key, F.lit(words)), F.lit(size)).otherwise(factor)
+        for letter, size in (("T", 10**12), ("B", 10**9), ("M", 10**6), ("K", 10**3)):
+            factor = F.when(initial == letter, F.lit(size)).otherwise(factor)
+        return factor
+
+    return let(F.split(text, r"R\$")[0], read)
 
 
 def br_date(text: Column) -> Column:
     """Day, month and year; a year of two digits is one from 1969 to 2068."""
-    shown = squeeze(text)
-    short = F.try_to_date(shown, "d/M/yy")
-    return F.when(~null_like(shown), F.coalesce(F.try_to_date(shown, "d/M/yyyy"), F.when(F.year(short) >= 2069, F.add_months(short, -1200)).otherwise(short)))
+    def read(shown: Column) -> Column:
+        short = let(F.try_to_date(shown, "d/M/yy"), lambda d: F.when(F.year(d) >= 2069, F.add_months(d, -1200)).otherwise(d))
+        # What holds no two strokes is no date and is not parsed.
+        return F.when(F.rlike(shown, F.lit("^[^/]*/[^/]*/[^/]*$")) & ~null_like(shown), let(F.try_to_date(shown, "d/M/yyyy"), lambda d: F.when(d.isNotNull(), d).otherwise(short)))
+
+    return let(squeeze(text), read)
 
 
 def iso_date(text: Column) -> Column:
@@ -125,11 +140,15 @@ def inferred(text: Column, label: Column | None = None) -> Column:
 
     Money has its sign before it or a label that says so.
     """
-    shown = squeeze(text)
-    day, number = br_date(shown), br_decimal(shown)
-    money = F.startswith(shown, F.lit("R$")) | (F.lit(False) if label is None else F.coalesce(F.rlike(label_key(label), F.lit(MONEY_LABELS)), F.lit(False)))
-    kind = F.when(null_like(shown), "null").when(day.isNotNull(), "date").when(number.isNull(), "text").when(F.contains(shown, F.lit("%")), "percent").when(money, "money").otherwise("number")
-    return F.struct(kind.alias("value_type"), F.when(kind == "date", day).alias("value_date"), F.when(kind.isin("percent", "money", "number"), number).alias("value_decimal"), F.when(kind == "text", shown).alias("value_text"))
+    by_label = F.lit(False) if label is None else F.coalesce(F.rlike(label_key(label), F.lit(MONEY_LABELS)), F.lit(False))
+
+    def read(x: Column) -> Column:
+        shown, day, number = x["shown"], x["day"], x["number"]
+        money = F.startswith(shown, F.lit("R$")) | by_label
+        kind = F.when(null_like(shown), "null").when(day.isNotNull(), "date").when(number.isNull(), "text").when(F.contains(shown, F.lit("%")), "percent").when(money, "money").otherwise("number")
+        return let(kind, lambda k: F.struct(k.alias("value_type"), F.when(k == "date", day).alias("value_date"), F.when(k.isin("percent", "money", "number"), number).alias("value_decimal"), F.when(k == "text", shown).alias("value_text")))
+
+    return let(squeeze(text), lambda shown: let(F.struct(shown.alias("shown"), br_date(shown).alias("day"), br_decimal(shown).alias("number")), read))
 
 
 def name_tokens(text: Column, noise: tuple[str, ...] = LEGAL_TOKENS) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.plans import names, peers, records, statements, stocks
+from tessera.plans import funds, names, peers, records, statements, stocks
 from tessera.plans.queries import ORACLE, QUERIES
 
-__all__ = ["ORACLE", "QUERIES", "names", "peers", "records", "statements", "stocks"]
+__all__ = ["ORACLE", "QUERIES", "funds", "names", "peers", "records", "statements", "stocks"]
