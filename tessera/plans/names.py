@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tessera.functions import text as X
+from tessera.operators.matching import company_match
 from tessera.operators.similarity import similar_texts
 from tessera.plans.queries import _r, _t, query
 
@@ -28,3 +30,31 @@ def alike_part_names(spark, sf_dir):
     pairs = similar_texts(n, plural, "name", _LIMIT)
     met = pairs.join(n.select(F.col("name").alias("left_text"), F.col("parts").alias("left_parts")), "left_text").join(plural.select(F.col("name").alias("right_text"), F.col("parts").alias("right_parts")), "right_text")
     return met.select(F.col("left_text").alias("name"), F.col("right_text").alias("other"), "left_parts", "right_parts", _r(F.col("likeness")).alias("likeness"))
+
+
+# A registry of all kinds of parts as companies, and the names they are asked for by: with a legal form, with a word that tells nothing, without
+# their last word (which several companies share), with a word more, and with one that none has.
+_COMPANIES = "SELECT min(p_partkey) AS id, p_name, p_type FROM part GROUP BY p_name, p_type"
+_ASKED = """CASE id % 5 WHEN 0 THEN concat('Cia. ', p_name, ' ', p_type, ' Ltda') WHEN 1 THEN concat(p_name, ' Participações ', p_type) WHEN 2 THEN p_name WHEN 3 THEN concat(p_name, ' ', p_type, ' Quântica') ELSE concat('Unheard ', id) END"""
+_NOISE_SQL = "['" + "', '".join(X.LEGAL_TOKENS) + "']"
+_ALL_NOISE_SQL = "['" + "', '".join(X.LEGAL_TOKENS + X.BUSINESS_TOKENS) + "']"
+
+
+@query(f"""
+    WITH c AS ({_COMPANIES}),
+    l AS (SELECT id, list_filter(w, lambda t, i: list_position(w, t) = i AND NOT list_contains({_NOISE_SQL}, t)) AS legal FROM (SELECT id, string_split_regex(trim(regexp_replace(upper(strip_accents({_ASKED})), '[^A-Z0-9]+', ' ', 'g')), ' +') AS w FROM c)),
+    r AS (SELECT id, list_filter(w, lambda t, i: list_position(w, t) = i AND NOT list_contains({_NOISE_SQL}, t)) AS legal FROM (SELECT id, string_split_regex(trim(regexp_replace(upper(strip_accents(concat(p_name, ' ', p_type, ' S.A.'))), '[^A-Z0-9]+', ' ', 'g')), ' +') AS w FROM c)),
+    lt AS (SELECT id, array_to_string(legal, ' ') AS one, list_filter(legal, lambda t: NOT list_contains({_ALL_NOISE_SQL}, t)) AS toks, array_to_string(toks, ' ') AS two FROM l),
+    rt AS (SELECT id, array_to_string(legal, ' ') AS one, list_filter(legal, lambda t: NOT list_contains({_ALL_NOISE_SQL}, t)) AS toks, array_to_string(toks, ' ') AS two FROM r),
+    a AS (SELECT lt.id, count(*) AS n, min(rt.id) AS found FROM lt JOIN rt USING (one) GROUP BY lt.id),
+    b AS (SELECT lt.id, count(*) AS n, min(rt.id) AS found FROM lt JOIN rt USING (two) GROUP BY lt.id),
+    h AS (SELECT lt.id, rt.id AS found, len(list_intersect(lt.toks, rt.toks)) AS overlap FROM lt JOIN rt ON len(list_intersect(lt.toks, rt.toks)) >= 2 AND len(list_intersect(lt.toks, rt.toks)) = least(len(list_distinct(lt.toks)), len(list_distinct(rt.toks))) WHERE lt.id NOT IN (SELECT id FROM a) AND lt.id NOT IN (SELECT id FROM b)),
+    d AS (SELECT id, count(*) AS n, min(found) AS found FROM (SELECT *, max(overlap) OVER (PARTITION BY id) AS most FROM h) WHERE overlap = most GROUP BY id)
+    SELECT id, found, tier FROM (SELECT id, found, n, 1 AS tier FROM a UNION ALL SELECT id, found, n, 2 FROM b WHERE id NOT IN (SELECT id FROM a) UNION ALL SELECT id, found, n, 3 FROM d) WHERE n = 1
+""")
+def company_tiers(spark, sf_dir):
+    """Companies found by all three tiers: near misses, names that several share, and names that none has."""
+    part = _t(spark, sf_dir, "part").groupBy("p_name", "p_type").agg(F.min("p_partkey").alias("id"))
+    left = part.selectExpr("id", f"{_ASKED} AS name")
+    right = part.select(F.col("id").alias("found"), F.concat("p_name", F.lit(" "), "p_type", F.lit(" S.A.")).alias("name"))
+    return company_match(left, right, "id", "found", "name")

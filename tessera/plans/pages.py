@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tessera.plans.filings import ORACLE, QUERIES
 from tessera.plans.queries import _ORDERS, _SUPPLIER_YEARS, _r, _t, customer_orders, query, supplier_years
 from tessera.sources import company_pages, prices, statement_pages
+from tessera.sources.html import attribute, elements, inside
 
 __all__ = ["ORACLE", "QUERIES"]  # those of all modules
 
@@ -139,3 +140,20 @@ def trade_documents(spark, sf_dir):
     asked = years.join(_t(spark, sf_dir, "supplier").where("s_nationkey < 20").select("s_suppkey"), F.col("l_suppkey") == F.col("s_suppkey")).select(F.concat(F.lit(" s"), "l_suppkey", F.lit("-"), "yr").alias("code"))
     found = prices.wanted(prices.trade_prices(docs, "l_suppkey", "doc"), asked, "code")
     return found.select("l_suppkey", "identifier", _r(F.col("price"), 1).alias("price"))
+
+
+_TEXTLESS = "regexp_replace(regexp_replace(html, '<!--.*?-->', '', 'gs'), '<(script|style)[^>]*>.*?</(script|style)>', '', 'gs')"
+
+
+@query(f"""
+    WITH p AS (SELECT page_id, {_TEXTLESS} AS h FROM pages)
+    SELECT page_id, len(regexp_extract_all(h, '<a [^>]*href=')) AS links, len(regexp_extract_all(h, '<li>')) AS items, len(regexp_extract_all(h, '<p[ >]')) AS paragraphs,
+        len(regexp_extract_all(list_aggregate(regexp_extract_all(h, '(?s)<nav>.*?</nav>'), 'string_agg', ''), '<a [^>]*href=')) AS nav_links, len(regexp_extract_all(h, '<(b|i|em|strong)>')) AS marked FROM p
+""")
+def page_elements(spark, sf_dir):
+    """Elements of every crawled page, and the links inside its navigation, by the parser."""
+    read = elements(_t(spark, sf_dir, "pages").select("page_id", "html"), "html")
+    linked = lambda e: (e["tag"] == "a") & attribute(e, "href").isNotNull()
+    number = lambda *tags: F.size(F.filter("elements", lambda e: e["tag"].isin(*tags)))
+    in_nav = F.aggregate(F.filter("elements", lambda e: e["tag"] == "nav"), F.lit(0), lambda a, e: a + F.size(inside(e, linked)))
+    return read.select("page_id", F.size(F.filter("elements", linked)).alias("links"), number("li").alias("items"), number("p").alias("paragraphs"), in_nav.alias("nav_links"), number("b", "i", "em", "strong").alias("marked"))
