@@ -22,6 +22,8 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import lru_cache
+from operator import itemgetter
 from zlib import crc32
 
 import numpy as np
@@ -235,12 +237,19 @@ def _zero_operators() -> list[list[int]]:
 _ZEROS = _zero_operators()
 
 
+@lru_cache(64)
+def _zeros_table(k: int) -> tuple[list[int], ...]:
+    """What each byte of a checksum becomes after 2^k zero bytes, by its place."""
+    return tuple([_times(_ZEROS[k], byte << shift) for byte in range(256)] for shift in (0, 8, 16, 24))
+
+
 def crc32_join(first: int, second: int, second_bytes: int) -> int:
     """CRC-32 of two byte strings one after the other, from the CRC-32 of each and the length of the second."""
     k = 0
     while second_bytes:
         if second_bytes & 1:
-            first = _times(_ZEROS[k], first)
+            a, b, c, d = _zeros_table(k)
+            first = a[first & 255] ^ b[(first >> 8) & 255] ^ c[(first >> 16) & 255] ^ d[first >> 24]
         second_bytes >>= 1
         k += 1
     return first ^ second
@@ -250,7 +259,8 @@ def _facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sums, counts = [], []
         for found, root, n_tokens in zip(*(batch.column(c).to_pylist() for c in ("found", "root", "n_tokens")), strict=True):
-            found.sort(key=lambda x: x["pos"])
+            if len(found) > 1:
+                found.sort(key=itemgetter("pos"))
             total = crc = 0
             for piece in found:
                 if piece["crc32"] is None and piece["digest"] is not None:
