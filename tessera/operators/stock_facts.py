@@ -49,11 +49,13 @@ def _share(test: Column, least: int = LEAST) -> Column:
 
 
 def yearly_facts(annual: DataFrame, macro: DataFrame, key: str) -> DataFrame:
-    """One row a key from rows a fiscal year; ``macro`` (yr, inflation, selic) has a row a year, so it is broadcast.
+    """One row a key from rows a fiscal year; ``macro``: yr, inflation, selic. Of a year that it repeats the larger values count, so that
+    it has a row a year, which bounds what is broadcast.
 
     One window by key numbers the years and one aggregate makes the facts; deflated growth takes each year between the
     first and the last, whether the company reported in it or not.
     """
+    macro = macro.groupBy("yr").agg(F.max("inflation").alias("inflation"), F.max("selic").alias("selic"))
     end, late = F.col("period_end"), F.col("recency") <= RECENT
     numbered = annual.withColumns({"recency": F.row_number().over(Window.partitionBy(key).orderBy(end.desc())), "yr": F.year(end), "_roe": _of("net_income", "equity"), "_net": _of("net_income", "revenue"), "_gross": _of("gross_profit", "revenue"), "_operating": _of("ebit", "revenue"), "_cash": _of("operating_cash_flow", "net_income")})
     rated = with_previous(numbered, [key], [end.asc()], ["revenue"]).join(F.broadcast(macro), "yr", "left")
