@@ -97,13 +97,10 @@ def archives(tmp_path):
     write("one_2023.zip", {"a.csv": "h;g\n1;é\n", "b.csv": "h\n2\n3\n", "c.txt": "no", "d.csv": ""})
     write("two_2024.zip", {"a.csv": "h\n4\n", "sub/b.csv": "h\r\n5\r6\n"})
     (tmp_path / "bad_2024.zip").write_bytes(b"no archive")
-    whole = (tmp_path / "two_2024.zip").read_bytes()
-    at = whole.index(b"a.csv") + 8
     with zipfile.ZipFile(tmp_path / "torn_2025.zip", "w", zipfile.ZIP_STORED) as z:
         z.writestr("x.csv", "h\nline one\n")
     torn = (tmp_path / "torn_2025.zip").read_bytes()
     (tmp_path / "torn_2025.zip").write_bytes(torn.replace(b"line one", b"line 0ne"))
-    assert at
     return tmp_path
 
 
