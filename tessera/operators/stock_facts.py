@@ -6,12 +6,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import numeric as N
-from tessera.operators.frames import inline_facts, with_previous
+from tessera.operators.frames import inline_facts
 
 # Years that count as recent, observations that a fact needs, the return that is good, years of stress and the rate that makes others so.
 RECENT, LEAST, LEAST_STRESS, GOOD_RETURN = 5, 3, 2, 0.15
 STRESS_YEARS, STRESS_RATE = (2015, 2016, 2020), 0.12
 
+#: The last year that a date can hold.
+LAST_YEAR = 9999
+
 # Facts that divide one measure of the latest twelve months by another, and their units.
 RATIOS = {
     "gross_margin": ("gross_profit", "revenue", "ratio"), "operating_margin": ("ebit", "revenue", "ratio"), "net_margin": ("net_income", "revenue", "ratio"), "return_on_equity": ("net_income", "equity", "ratio"),
@@ -37,59 +40,71 @@ def latest_facts(latest: DataFrame, key: str) -> DataFrame:
     return latest.select(key, *(value.alias(name) for name, value in facts.items()))
 
 
-def _growth(value: Column, end: Column, deflated_by: Column | None = None) -> Column:
-    """Compound growth between the first and last observed year; three observations at least."""
+def _seen(value: Column, made: Column, end: Column) -> Column:
+    """A fact of a value's observations: what is made of them, how many there are, and the day of the last."""
+    return F.struct(made.cast("double").alias("value"), F.count(value).alias("n"), F.max(F.when(value.isNotNull(), end)).alias("as_of"))
+
+
+def _growth(value: Column, end: Column, deflated: bool = False) -> Column:
+    """Compound growth between the first and last observed year; three observations at least, and two years of known inflation if deflated."""
     seen = F.when(value.isNotNull(), end)
-    last = F.max_by(value, seen)
-    return N.gated(F.count(value), LEAST, N.annual_growth(F.min_by(value, seen), last if deflated_by is None else last / deflated_by, F.datediff(F.max(seen), F.min(seen))))
+    row = F.struct(value.cast("double").alias("v"), "prices", "known")
+    first, last = F.min_by(row, seen), F.max_by(row, seen)
+    most = F.try_divide(last["v"], F.try_divide(last["prices"], first["prices"])) if deflated else last["v"]
+    grown = N.annual_growth(first["v"], most, F.datediff(F.max(seen), F.min(seen)))
+    return _seen(value, N.gated(F.count(value), LEAST, F.when(last["known"] - first["known"] >= 2, grown) if deflated else grown), end)
 
 
-def _share(test: Column, least: int = LEAST) -> Column:
-    return N.gated(F.count(test), least, F.avg(test.cast("double")))
+def _share(test: Column, end: Column, least: int = LEAST) -> Column:
+    return _seen(test, N.gated(F.count(test), least, F.avg(test.cast("double"))), end)
 
 
-def yearly_facts(annual: DataFrame, macro: DataFrame, key: str) -> DataFrame:
-    """One row a key from rows a fiscal year; ``macro``: yr, inflation, selic. Of a year that it repeats the larger values count, so that
-    it has a row a year, which bounds what is broadcast.
+def yearly_rates(macro: DataFrame) -> DataFrame:
+    """yr, inflation, selic, prices (compounded up to the year), known (years of known inflation up to it): a row for every year of the calendar.
 
-    One window by key numbers the years and one aggregate makes the facts; deflated growth takes each year between the
-    first and the last, whether the company reported in it or not.
+    Of a year that ``macro`` repeats the larger values count. Some ten thousand rows whatever the input holds, so that a broadcast is bounded.
+    """
+    told = macro.where("yr is not null").groupBy("yr").agg(F.max("inflation").cast("double").alias("inflation"), F.max("selic").cast("double").alias("selic"))
+    years = macro.sparkSession.range(1, LAST_YEAR + 1, 1, 1).select(F.col("id").cast("int").alias("yr")).join(told, "yr", "left")
+    upto = Window.orderBy("yr")
+    return years.withColumns({"prices": F.product(F.coalesce(1 + F.col("inflation"), F.lit(1.0))).over(upto), "known": F.count("inflation").over(upto)})
+
+
+def yearly_observations(annual: DataFrame, macro: DataFrame, key: str) -> DataFrame:
+    """One row a key from rows a fiscal year; ``macro``: yr, inflation, selic. Each fact is a struct of value, n and as_of.
+
+    One window by key numbers the years and one aggregate makes the facts, in the one shuffle of the years. Deflated growth takes each year
+    between the first and the last, whether the company reported in it or not, as the quotient of two price levels.
     """
-    macro = macro.groupBy("yr").agg(F.max("inflation").alias("inflation"), F.max("selic").alias("selic"))
     end, late = F.col("period_end"), F.col("recency") <= RECENT
-    numbered = annual.withColumns({"recency": F.row_number().over(Window.partitionBy(key).orderBy(end.desc())), "yr": F.year(end), "_roe": _of("net_income", "equity"), "_net": _of("net_income", "revenue"), "_gross": _of("gross_profit", "revenue"), "_operating": _of("ebit", "revenue"), "_cash": _of("operating_cash_flow", "net_income")})
-    rated = with_previous(numbered, [key], [end.asc()], ["revenue"]).join(F.broadcast(macro), "yr", "left")
+    newest = Window.partitionBy(key).orderBy(end.desc())
+    rated = annual.withColumns({"recency": F.row_number().over(newest), "prev_revenue": F.lead("revenue").over(newest), "yr": F.year(end), "_roe": _of("net_income", "equity"), "_net": _of("net_income", "revenue"), "_gross": _of("gross_profit", "revenue"), "_operating": _of("ebit", "revenue"), "_cash": _of("operating_cash_flow", "net_income")}).join(F.broadcast(yearly_rates(macro)), "yr", "left")
 
     def recent(name: str) -> Column:
         return F.when(late, F.col(name))
 
     def volatile(value: Column) -> Column:
-        return N.gated(F.count(value), LEAST, F.stddev_pop(value))
+        return _seen(value, N.gated(F.count(value), LEAST, F.stddev_pop(value)), end)
+
+    def middle(value: Column) -> Column:
+        return _seen(value, N.gated(F.count(value), LEAST, F.median(value)), end)
 
     stressed = late & (F.col("yr").isin(*STRESS_YEARS) | (F.coalesce("selic", F.lit(0.0)) >= STRESS_RATE))
-    real = F.when((F.col("recency") < RECENT) & (F.col("prev_revenue") > 0), F.col("revenue") / F.col("prev_revenue") / (1 + F.col("inflation")) - 1)
-    spread = recent("_roe") - F.col("selic")
+    real = F.when((F.col("recency") < RECENT) & (F.col("prev_revenue") > 0), F.try_divide(F.col("revenue") / F.col("prev_revenue"), 1 + F.col("inflation")) - 1)
     facts = {
         "revenue_cagr": _growth(F.col("revenue"), end), "earnings_cagr": _growth(F.col("net_income"), end), "net_margin_volatility": volatile(F.col("_net")), "return_on_equity_volatility": volatile(F.col("_roe")),
-        "positive_earnings_frequency": _share(F.col("net_income") > 0), "positive_free_cash_flow_frequency": _share(F.col("free_cash_flow") > 0), "share_dilution": _growth(recent("shares"), end),
-        "roe_5y_median": N.gated(F.count(recent("_roe")), LEAST, F.median(recent("_roe"))), "roe_above_15_frequency": _share(recent("_roe") >= GOOD_RETURN), "cash_conversion_median": N.gated(F.count(recent("_cash")), LEAST, F.median(recent("_cash"))),
-        "gross_margin_volatility": volatile(recent("_gross")), "operating_margin_volatility": volatile(recent("_operating")), "roe_vs_selic_spread": N.gated(F.count(spread), LEAST, F.median(spread)),
-        "stress_profitability_frequency": _share(F.when(stressed, F.col("net_income") > 0), LEAST_STRESS), "positive_real_revenue_growth_frequency": _share(real > 0),
+        "positive_earnings_frequency": _share(F.col("net_income") > 0, end), "positive_free_cash_flow_frequency": _share(F.col("free_cash_flow") > 0, end), "share_dilution": _growth(recent("shares"), end),
+        "roe_5y_median": middle(recent("_roe")), "roe_above_15_frequency": _share(recent("_roe") >= GOOD_RETURN, end), "cash_conversion_median": middle(recent("_cash")),
+        "gross_margin_volatility": volatile(recent("_gross")), "operating_margin_volatility": volatile(recent("_operating")), "revenue_real_cagr": _growth(recent("revenue"), end, deflated=True), "earnings_real_cagr": _growth(recent("net_income"), end, deflated=True),
+        "roe_vs_selic_spread": middle(recent("_roe") - F.col("selic")), "stress_profitability_frequency": _share(F.when(stressed, F.col("net_income") > 0), end, LEAST_STRESS), "positive_real_revenue_growth_frequency": _share(real > 0, end),
     }
-    base = rated.groupBy(key).agg(*(value.alias(name) for name, value in facts.items()))
-    for name, column in (("revenue_real_cagr", "revenue"), ("earnings_real_cagr", "net_income")):
-        base = base.join(_deflated(rated.where(late), macro, key, column, name), key, "left")
-    return base
+    return rated.groupBy(key).agg(*(value.alias(name) for name, value in facts.items()))
 
 
-def _deflated(recent: DataFrame, macro: DataFrame, key: str, column: str, name: str) -> DataFrame:
-    """Growth of a measure without that of prices; two years of known inflation at least."""
-    value, end = F.col(column), F.col("period_end")
-    seen = F.when(value.isNotNull(), end)
-    ends = recent.groupBy(key).agg(F.count(value).alias("_n"), F.min_by(value, seen).alias("_a"), F.max_by(value, seen).alias("_b"), F.min(seen).alias("_from"), F.max(seen).alias("_to")).where(f"_n >= {LEAST}")
-    years = ends.select("*", F.explode(F.sequence(F.year("_from") + 1, F.year("_to"))).alias("yr")).join(F.broadcast(macro.select("yr", "inflation")), "yr").where("inflation is not null")
-    grown = years.groupBy(key, "_a", "_b", "_from", "_to").agg(F.product(1 + F.col("inflation")).alias("_prices"), F.count("*").alias("_known")).where("_known >= 2")
-    return grown.select(key, N.annual_growth(F.col("_a"), F.col("_b") / F.col("_prices"), F.datediff("_to", "_from")).alias(name))
+def yearly_facts(annual: DataFrame, macro: DataFrame, key: str) -> DataFrame:
+    """The values of ``yearly_observations``."""
+    seen = yearly_observations(annual, macro, key)
+    return seen.select(key, *(F.col(name)["value"].alias(name) for name in seen.columns if name != key))
 
 
 def stock_facts(latest: DataFrame, annual: DataFrame, macro: DataFrame, key: str) -> DataFrame:
