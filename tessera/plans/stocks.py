@@ -31,6 +31,12 @@ def _annual(spark, sf_dir) -> DataFrame:
     return sums.select("l_suppkey", F.expr("make_date(yr, 12, 31)").alias("period_end"), *(F.expr(e).cast("double").alias(m) for m, e in _MEASURES.items()))
 
 
+def _yearly_macro(spark, sf_dir) -> DataFrame:
+    shift = F.when(F.col("yr").isin(1998, 2000), 0.08).otherwise(0.0)
+    means = _rates(spark, sf_dir).groupBy("yr").agg((F.product(1 + F.col("rate")) - 1).alias("inflation"), F.avg("rate").alias("mean"))
+    return means.select("yr", "inflation", (F.col("mean") * 12 + shift).alias("selic"))
+
+
 def _obs(value: str, where: str = "TRUE") -> str:
     return f"count({value}) FILTER ({where})"
 
@@ -64,13 +70,17 @@ _LATEST_SQL = {name: f"{a} / nullif({b}, 0)" for name, (a, b, _) in RATIOS.items
 }
 
 
-@query(f"""
+# Years with their ranks, rates and ratios (r), and the rows of all years (n).
+_YEARS_SQL = f"""
     WITH a AS ({_ANNUAL}), m AS ({_MACRO}),
     n AS (SELECT a.*, row_number() OVER w AS recency, lag(revenue) OVER (PARTITION BY l_suppkey ORDER BY yr) AS prev FROM a WINDOW w AS (PARTITION BY l_suppkey ORDER BY yr DESC)),
     span AS (SELECT l_suppkey, min(yr) AS y0, max(yr) AS y1 FROM n WHERE recency <= 5 GROUP BY l_suppkey),
     p AS (SELECT l_suppkey, CASE WHEN count(*) >= 2 THEN product(1 + inflation) END AS prices FROM span JOIN m ON m.yr > y0 AND m.yr <= y1 GROUP BY l_suppkey),
     r AS (SELECT n.*, selic, prices, recency <= 5 AS late, net_income / nullif(equity, 0) AS roe, net_income / nullif(revenue, 0) AS net, gross_profit / nullif(revenue, 0) AS gm, ebit / nullif(revenue, 0) AS om, operating_cash_flow / nullif(net_income, 0) AS cash,
-        net_income / nullif(equity, 0) - selic AS spread, CASE WHEN prev > 0 THEN revenue / prev / (1 + inflation) - 1 END AS real FROM n LEFT JOIN m USING (yr) LEFT JOIN p USING (l_suppkey)),
+        net_income / nullif(equity, 0) - selic AS spread, CASE WHEN prev > 0 THEN revenue / prev / (1 + inflation) - 1 END AS real FROM n LEFT JOIN m USING (yr) LEFT JOIN p USING (l_suppkey)),"""
+
+
+@query(f"""{_YEARS_SQL}
     y AS (SELECT l_suppkey, {', '.join(f'{e} AS {f}' for f, e in _YEARLY_SQL.items())} FROM r GROUP BY l_suppkey),
     l AS (SELECT l_suppkey, {', '.join(f'{e} AS {f}' for f, e in _LATEST_SQL.items())} FROM n WHERE recency = 1),
     w AS (SELECT l.*, y.* EXCLUDE (l_suppkey) FROM l JOIN y USING (l_suppkey))
@@ -81,9 +91,7 @@ def stock_quality_facts(spark, sf_dir):
     """33 facts a company, of its latest year and of its years against yearly rates."""
     annual = _annual(spark, sf_dir)
     latest = annual.groupBy("l_suppkey").agg(*(F.max_by(m, "period_end").alias(m) for m in _MEASURES))
-    shift = F.when(F.col("yr").isin(1998, 2000), 0.08).otherwise(0.0)
-    macro = _rates(spark, sf_dir).groupBy("yr").agg((F.product(1 + F.col("rate")) - 1).alias("inflation"), F.avg("rate").alias("mean")).select("yr", "inflation", (F.col("mean") * 12 + shift).alias("selic"))
-    return stock_facts(latest, annual, macro, "l_suppkey").withColumn("value", _r(F.col("value"), 5))
+    return stock_facts(latest, annual, _yearly_macro(spark, sf_dir), "l_suppkey").withColumn("value", _r(F.col("value"), 5))
 
 
 def _json(template: str, **values: Column) -> Column:
