@@ -11,7 +11,11 @@ repeat is always found from the bucket of that q-gram.
    identifiers at the next offset to the left and to the right come from those of the offset before (one multiply and
    add each), so the 50-byte window at each start is known from the bucket, the identifier of its left part and the
    identifier of its right part; of equal identifiers the smallest document wins.
-3. The starts that also occur in a smaller document go back to their document as runs; it cuts the union out.
+3. Hot buckets are refined in a further round. Their pointers are dealt out, so that no task has a bucket; a window that a smaller document
+   shows there is settled. What is left open goes on under its refined bucket, the window's identifier, of which a deal
+   leaves one document each, so that its rows are as few as the deals. Which buckets are hot is told by a histogram of fixed size over
+   hashes of q-grams; it decides the way of a pointer, not the result.
+4. The starts that also occur in a smaller document go back to their document as runs; it cuts the union out.
 
 Copies inside a batch of documents are settled there: of equal pointers only the smallest document's is sent on, so
 a passage shared by a third of all documents is sent once a batch. Identifiers are 64-bit hashes.
@@ -29,7 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import as_documents, drop, stage
@@ -39,6 +43,8 @@ _U = np.uint64
 Q = 16
 #: Bytes of text for each initial bucket group, and of a slab; a slab's offsets must fit in SLAB_BITS.
 BUCKET_BYTES, SLAB, SLAB_BITS = 64 << 20, 1 << 20, 21
+#: Cells of the histogram that tells hot buckets; one is hot with over HOT pointers and HOT_SHARE times the mean; parts that its pointers are dealt to.
+CELLS, HOT, HOT_SHARE, DEALS = 1 << 16, 1000, 4, 64
 _LEFT, _RIGHT = _U(0x9E3779B97F4A7C15), _U(0xC2B2AE3D27D4EB4F)
 
 
@@ -230,8 +236,17 @@ def _window_keys(gram: np.ndarray, lead: np.ndarray, more: np.ndarray, around: l
     return row, step, key
 
 
-def _repeats(span: int):
-    """Reads pointers sorted by (gram, doc); yields the runs of starts whose window occurs in a smaller document."""
+def _open_windows(key: np.ndarray, doc: np.ndarray, fp: np.ndarray, start: np.ndarray) -> pa.RecordBatch:
+    """A row for each window identifier and document, with its starts there; they go on to the next round."""
+    order = np.lexsort((fp, doc, key))
+    key, doc, fp = key[order], doc[order], fp[order]
+    first = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (doc[1:] != doc[:-1]) | (fp[1:] != fp[:-1])])) if len(key) else np.zeros(0, np.int64)
+    starts = pa.ListArray.from_arrays(pa.array(np.append(first, len(key)).astype(np.int32)), pa.array(start[order]))
+    return pa.RecordBatch.from_arrays([pa.array(doc[first]), pa.array(fp[first]), pa.nulls(len(first), pa.int64()), pa.array(key[first].view(np.int64)), starts], ["doc_id", "fp", "mark", "window", "starts"])
+
+
+def _repeats(span: int, refine: bool = False):
+    """Reads pointers sorted by (gram, doc); yields the runs of starts whose window occurs in a smaller document, and to ``refine`` the open windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, kept_key, kept_doc = None, np.zeros(0, _U), np.zeros(0, np.int64)  # of the gram that the last batch ended in
@@ -254,7 +269,13 @@ def _repeats(span: int):
             starts = np.flatnonzero(np.concatenate([[True], (r[1:] != r[:-1]) | (s[1:] != s[:-1] + 1)])) if len(r) else np.zeros(0, np.int64)
             runs = np.diff(np.append(starts, len(r))) - 1
             head = starts
-            yield pa.RecordBatch.from_arrays([pa.array(doc[r[head]]), pa.array(fp[r[head]]), pa.array((at[r[head]] + s[head]) * 64 + runs)], ["doc_id", "fp", "mark"])
+            settled = [pa.array(doc[r[head]]), pa.array(fp[r[head]]), pa.array((at[r[head]] + s[head]) * 64 + runs)]
+            if refine:
+                left = np.flatnonzero(least[len(kept_key) :] >= doc[row])
+                yield pa.RecordBatch.from_arrays([*settled, pa.nulls(len(head), pa.int64()), pa.nulls(len(head), pa.list_(pa.int64()))], ["doc_id", "fp", "mark", "window", "starts"])
+                yield _open_windows(key[left], doc[row[left]], fp[row[left]], at[row[left]] + step[left])
+            else:
+                yield pa.RecordBatch.from_arrays(settled, ["doc_id", "fp", "mark"])
             # Carry over the last gram's identifiers, each with its smallest document.
             last = gram[-1]
             own = np.concatenate([np.ones(len(kept_key), bool) if gram[0] == last else np.zeros(len(kept_key), bool), gram[row] == last])
@@ -298,6 +319,25 @@ def _cut(span: int):
     return run
 
 
+def _hot_cells(cells: DataFrame) -> list[int]:
+    """The cells of a histogram of CELLS cells with over HOT pointers and HOT_SHARE times the mean: CELLS / HOT_SHARE of them at most."""
+    mean = F.lit((cells.agg(F.sum("n")).first()[0] or 0) / CELLS)
+    return [r["cell"] for r in cells.where((F.col("n") > HOT) & (F.col("n") > HOT_SHARE * mean)).select("cell").collect()]
+
+
+def _refined(pointers_: DataFrame, span: int) -> DataFrame:
+    """Pointers of hot buckets, dealt out: settled runs (mark), and the windows that stay open (window, starts)."""
+    deal = F.pmod(F.xxhash64("doc_id", "fp", "at"), F.lit(DEALS))
+    dealt = pointers_.withColumn("deal", deal).repartition("gram", "deal").drop("deal").sortWithinPartitions("gram", "doc_id")
+    return dealt.mapInArrow(_repeats(span, refine=True), "doc_id long, fp long, mark long, window long, starts array<long>")
+
+
+def _open_repeats(open_: DataFrame) -> DataFrame:
+    """Of open windows the starts in all but the smallest document of a window."""
+    least = F.min("doc_id").over(Window.partitionBy("window"))
+    return open_.select("doc_id", "fp", "starts", least.alias("least")).where("doc_id > least").select("doc_id", "fp", F.explode("starts").alias("start")).select("doc_id", "fp", (F.col("start") * 64).alias("mark"))
+
+
 def repeated_starts(docs: DataFrame, span: int = 50) -> DataFrame:
     """doc_id, fp, marks: for each document with repeats, the starts of its repeated windows (start * 64 + further ones)."""
     if not Q < span < Q + 64:
@@ -312,8 +352,19 @@ def repeated_starts(docs: DataFrame, span: int = 50) -> DataFrame:
     found = stage(texts.join(wanted, ["doc_id", "fp"]).select("doc_id", "fp", "text", "wanted").mapInArrow(_contexts(span), _CONTEXTS), "contexts")
     drop(wanted)
     pointers_ = found.where("gram is not null").select("gram", "doc_id", "fp", "at", "lead", "more", "around")
+    cell = F.pmod(F.xxhash64("gram"), F.lit(CELLS)).cast("int")
+    hot = _hot_cells(pointers_.groupBy(cell.alias("cell")).agg(F.count("*").alias("n")))
+    known = found.where("gram is null").select("doc_id", "fp", "mark")
+    refined = None
+    if hot:
+        told = F.broadcast(docs.sparkSession.createDataFrame([(c,) for c in hot], "cell int"))  # CELLS / HOT_SHARE rows at most
+        refined = stage(_refined(pointers_.withColumn("cell", cell).join(told, "cell", "left_semi").drop("cell"), span), "refined")
+        pointers_ = pointers_.withColumn("cell", cell).join(told, "cell", "left_anti").drop("cell")
+        known = known.unionByName(refined.where("mark is not null").select("doc_id", "fp", "mark")).unionByName(_open_repeats(refined.where("mark is null")))
     repeats = pointers_.repartition("gram").sortWithinPartitions("gram", "doc_id").mapInArrow(_repeats(span), "doc_id long, fp long, mark long")
-    marks = stage(repeats.unionByName(found.where("gram is null").select("doc_id", "fp", "mark")).groupBy("doc_id", "fp").agg(F.collect_list("mark").alias("marks")), "marks")
+    marks = stage(repeats.unionByName(known).groupBy("doc_id", "fp").agg(F.collect_list("mark").alias("marks")), "marks")
+    if refined is not None:
+        drop(refined)
     drop(found)
     return marks
 

@@ -1,12 +1,14 @@
 """Exact dedup, repeats and the n-gram join against brute force."""
 
 import hashlib
+import random
 import re
 from collections import Counter, defaultdict
 
 import pytest
 
 from tessera.llm import exact_dedup as E
+from tessera.llm import substring_dedup
 from tessera.llm.ngram_join import near_components
 from tessera.llm.substring_dedup import remove_repeats
 
@@ -57,6 +59,27 @@ def test_repeats(docs, rows):
     assert Counter(map(tuple, remove_repeats(docs).collect())) == repeats(rows)
 
 
+@pytest.mark.parametrize(("hot", "deals"), [(0, 64), (0, 1), (3, 5)])
+def test_repeats_of_hot_buckets(docs, rows, monkeypatch, hot, deals):
+    monkeypatch.setattr(substring_dedup, "HOT", hot)
+    monkeypatch.setattr(substring_dedup, "HOT_SHARE", 0)
+    monkeypatch.setattr(substring_dedup, "DEALS", deals)
+    assert Counter(map(tuple, remove_repeats(docs).collect())) == repeats(rows)
+
+
+def test_a_passage_in_every_document_is_dealt_and_found(spark, monkeypatch):
+    dice = random.Random(3)
+    letters = lambda n: "".join(dice.choice("abcdefghij ") for _ in range(n))
+    passage = letters(70)
+    rows = [(k, letters(30) + passage + letters(30) + (passage + "z") * (k % 3) + "ab" * (40 * (k % 4 == 0))) for k in range(150)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    monkeypatch.setattr(substring_dedup, "HOT", 20)
+    found, hot = substring_dedup._hot_cells, []
+    monkeypatch.setattr(substring_dedup, "_hot_cells", lambda cells: hot.append(found(cells)) or hot[-1])
+    assert Counter(map(tuple, remove_repeats(docs).collect())) == repeats(rows)
+    assert len(hot) == 1 and 0 < len(hot[0]) < 100  # the borders of the passage, whose surroundings differ; its inside is settled before
+
+
 def shingles(text, k):
     words = [w for w in re.split("[ \t-\r]+", text.translate(LOWER)) if w]
     return frozenset(tuple(words[i : i + k]) for i in range(max(1, len(words) - k + 1))) if words else frozenset()
