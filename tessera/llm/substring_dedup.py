@@ -43,8 +43,8 @@ _U = np.uint64
 Q = 16
 #: Bytes of text for each initial bucket group, and of a slab; a slab's offsets must fit in SLAB_BITS.
 BUCKET_BYTES, SLAB, SLAB_BITS = 64 << 20, 1 << 20, 21
-#: Cells of the histogram that tells hot buckets; one is hot with over HOT pointers and HOT_SHARE times the mean; parts that its pointers are dealt to.
-CELLS, HOT, HOT_SHARE, DEALS = 1 << 16, 1000, 4, 64
+#: Cells of the histogram that tells hot buckets; one is hot with over the HOT-th part of all pointers, at every size; parts that its pointers are dealt to.
+CELLS, HOT, DEALS = 1 << 16, 1000, 64
 _LEFT, _RIGHT = _U(0x9E3779B97F4A7C15), _U(0xC2B2AE3D27D4EB4F)
 
 
@@ -320,9 +320,9 @@ def _cut(span: int):
 
 
 def _hot_cells(cells: DataFrame) -> list[int]:
-    """The cells of a histogram of CELLS cells with over HOT pointers and HOT_SHARE times the mean: CELLS / HOT_SHARE of them at most."""
-    mean = F.lit((cells.agg(F.sum("n")).first()[0] or 0) / CELLS)
-    return [r["cell"] for r in cells.where((F.col("n") > HOT) & (F.col("n") > HOT_SHARE * mean)).select("cell").collect()]
+    """The cells of a histogram of CELLS cells with over the HOT-th part of its sum: fewer than HOT of them."""
+    total = cells.agg(F.sum("n")).first()[0] or 0
+    return [r["cell"] for r in cells.where(F.col("n") * HOT > total).select("cell").collect()]
 
 
 def _refined(pointers_: DataFrame, span: int) -> DataFrame:
@@ -357,7 +357,7 @@ def repeated_starts(docs: DataFrame, span: int = 50) -> DataFrame:
     known = found.where("gram is null").select("doc_id", "fp", "mark")
     refined = None
     if hot:
-        told = F.broadcast(docs.sparkSession.createDataFrame([(c,) for c in hot], "cell int"))  # CELLS / HOT_SHARE rows at most
+        told = F.broadcast(docs.sparkSession.createDataFrame([(c,) for c in hot], "cell int"))  # fewer than HOT rows
         refined = stage(_refined(pointers_.withColumn("cell", cell).join(told, "cell", "left_semi").drop("cell"), span), "refined")
         pointers_ = pointers_.withColumn("cell", cell).join(told, "cell", "left_anti").drop("cell")
         known = known.unionByName(refined.where("mark is not null").select("doc_id", "fp", "mark")).unionByName(_open_repeats(refined.where("mark is null")))

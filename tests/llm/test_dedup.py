@@ -59,10 +59,9 @@ def test_repeats(docs, rows):
     assert Counter(map(tuple, remove_repeats(docs).collect())) == repeats(rows)
 
 
-@pytest.mark.parametrize(("hot", "deals"), [(0, 64), (0, 1), (3, 5)])
+@pytest.mark.parametrize(("hot", "deals"), [(10**9, 64), (10**9, 1), (300, 5)])
 def test_repeats_of_hot_buckets(docs, rows, monkeypatch, hot, deals):
     monkeypatch.setattr(substring_dedup, "HOT", hot)
-    monkeypatch.setattr(substring_dedup, "HOT_SHARE", 0)
     monkeypatch.setattr(substring_dedup, "DEALS", deals)
     assert Counter(map(tuple, remove_repeats(docs).collect())) == repeats(rows)
 
@@ -73,7 +72,7 @@ def test_a_passage_in_every_document_is_dealt_and_found(spark, monkeypatch):
     passage = letters(70)
     rows = [(k, letters(30) + passage + letters(30) + (passage + "z") * (k % 3) + "ab" * (40 * (k % 4 == 0))) for k in range(150)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
-    monkeypatch.setattr(substring_dedup, "HOT", 20)
+    monkeypatch.setattr(substring_dedup, "HOT", 50)
     found, hot = substring_dedup._hot_cells, []
     monkeypatch.setattr(substring_dedup, "_hot_cells", lambda cells: hot.append(found(cells)) or hot[-1])
     assert Counter(map(tuple, remove_repeats(docs).collect())) == repeats(rows)
