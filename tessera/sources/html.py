@@ -6,6 +6,7 @@ what is read from them is built-in functions over that array, without a shuffle.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 
@@ -25,6 +26,17 @@ ENDS = {"td": {"td", "th"}, "th": {"td", "th"}, "tr": {"tr", "td", "th"}, "tbody
 FENCE = {"table", "ul", "ol", "select", "div"}
 WIDEST = 1000
 
+# Markup that needs no tolerance (quoted values, no references), tags whose content is read otherwise; elements and bytes of a batch.
+_NAME = r"[A-Za-z][A-Za-z0-9-]*"
+_PLAIN = re.compile(rf"""(?P<text>[^<&]+)|<(?:(?P<begin>{_NAME})(?P<attrs>(?:[ \n\t]+{_NAME}=(?:"[^"<>&]*"|'[^'<>&]*'))*)[ \n\t]*(?P<ends>/?)>|/(?P<end>{_NAME})>|!--[A-Za-z0-9_. ]*-->|!DOCTYPE html>)""")
+_ATTRIBUTE = re.compile(rf"""({_NAME})=(?:"([^"]*)"|'([^']*)')""")
+RAW = {"script", "style", "textarea", "title", "iframe", "noembed", "noframes", "noscript", "plaintext", "xmp", "math", "svg"}
+BATCH_ELEMENTS, BATCH_CHARACTERS = 20_000, 1 << 21
+
+
+_NONE: list = []
+_TOP = {"table": -1, "row": -1, "part": "tbody", "node": -1, "tag": ""}
+
 
 class _Listing(HTMLParser):
     """Elements of one page; a text is an element of the tag #text, scripts and styles have none."""
@@ -34,17 +46,18 @@ class _Listing(HTMLParser):
         self.rows: list[dict] = []
         self.open: list[int] = []
 
-    def _add(self, tag: str, attrs: dict, text: str | None = None) -> int:
-        at = len(self.rows)
-        above = self.rows[self.open[-1]] if self.open else {"table": -1, "row": -1, "part": "tbody", "node": -1, "tag": ""}
-        table, row, part = above["table"], above["row"], above["part"]
-        if above["tag"] == "table":
+    def _add(self, tag: str, attrs: list, text: str | None = None) -> int:
+        rows = self.rows
+        at = len(rows)
+        above = rows[self.open[-1]] if self.open else _TOP
+        table, row, part, holder = above["table"], above["row"], above["part"], above["tag"]
+        if holder == "table":
             table, row, part = above["node"], -1, "tbody"
-        if above["tag"] == "tr":
+        elif holder == "tr":
             row = above["node"]
-        if above["tag"] in ("thead", "tfoot"):
-            part = above["tag"]
-        self.rows.append({"node": at, "last": at, "table": table, "row": row, "part": part, "tag": tag, "attrs": list(attrs.items()), "text": text})
+        elif holder == "thead" or holder == "tfoot":
+            part = holder
+        rows.append({"node": at, "last": at, "table": table, "row": row, "part": part, "tag": tag, "attrs": attrs, "text": text})
         return at
 
     def _close(self, place: int) -> None:
@@ -53,16 +66,17 @@ class _Listing(HTMLParser):
         del self.open[place:]
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
-        ended, cut = ENDS.get(tag, ()), None
-        for place in range(len(self.open) - 1, -1, -1):
-            there = self.rows[self.open[place]]["tag"]
-            if there in FENCE:
-                break
-            if there in ended:
-                cut = place
-        if cut is not None:
-            self._close(cut)
-        node = self._add(tag, {k: v or "" for k, v in reversed(attrs)})
+        if ended := ENDS.get(tag):
+            cut = None
+            for place in range(len(self.open) - 1, -1, -1):
+                there = self.rows[self.open[place]]["tag"]
+                if there in FENCE:
+                    break
+                if there in ended:
+                    cut = place
+            if cut is not None:
+                self._close(cut)
+        node = self._add(tag, list({k: v or "" for k, v in reversed(attrs)}.items()) if attrs else _NONE)
         if tag not in VOID:
             self.open.append(node)
 
@@ -76,30 +90,75 @@ class _Listing(HTMLParser):
 
     def handle_data(self, data: str) -> None:
         if not (self.open and self.rows[self.open[-1]]["tag"] in ("script", "style")):
-            self._add("#text", {}, data)
+            self._add("#text", _NONE, data)
+
+
+def _plain(html: str) -> _Listing | None:
+    """A page of plain markup, token by token with what the parser would call; null where anything in it needs the parser."""
+    page, at, match = _Listing(), 0, _PLAIN.match
+    while at < len(html):
+        token = match(html, at)
+        if token is None:
+            return None
+        at = token.end()
+        text, begin, attrs, ends, end = token.groups()
+        if text:
+            page.handle_data(text)
+        elif end:
+            page.handle_endtag(end.lower())
+        elif begin:
+            tag = begin.lower()
+            if tag in RAW:
+                return None
+            page.handle_starttag(tag, [(k.lower(), a or b) for k, a, b in _ATTRIBUTE.findall(attrs)] if attrs else _NONE)
+            if ends:
+                page.handle_endtag(tag)
+    return page
 
 
-def _listed(html: str | None) -> list[dict]:
+def _parsed(html: str) -> _Listing:
     page = _Listing()
-    page.feed(html or "")
+    page.feed(html)
     page.close()
+    return page
+
+
+def _listed(html: str | None) -> list[dict]:
+    page = _plain(html or "") or _parsed(html or "")
     page._close(0)
     return page.rows
 
 
-def elements(pages: DataFrame, html: str) -> DataFrame:
-    """The pages with ``elements``, an array in document order."""
+def spread(pages: DataFrame, key: str) -> DataFrame:
+    """The pages dealt to all cores: a small file is read in one task, whatever its pages cost."""
+    spark = pages.sparkSession
+    return pages.repartition(max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), F.col(key))
+
+
+def elements(pages: DataFrame, html: str, key: str | None = None) -> DataFrame:
+    """The pages with ``elements``, an array in document order; with a ``key`` they are dealt out by it first."""
     schema = T.StructType([*(f for f in pages.schema if f.name != "elements"), T.StructField("elements", T._parse_datatype_string(f"array<{ELEMENT}>"))])
     kept = [f.name for f in schema][:-1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(batch.num_rows):  # a page at a time bounds memory
-                one = batch.slice(at, 1)
-                listed = pa.array([_listed(one.column(html)[0].as_py())], pa.list_(_TYPE))
-                yield pa.RecordBatch.from_arrays([*(one.column(c) for c in kept), listed], [*kept, "elements"])
+            begin, listed, held, chars = 0, [], 0, 0
+
+            def told(end: int) -> pa.RecordBatch:
+                part = batch.slice(begin, end - begin)  # noqa: B023
+                return pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), pa.array(listed, pa.list_(_TYPE))], [*kept, "elements"])  # noqa: B023
+
+            for at, one in enumerate(batch.column(html)):
+                text = one.as_py()
+                listed.append(_listed(text))
+                held, chars = held + len(listed[-1]), chars + len(text or "")
+                if held >= BATCH_ELEMENTS or chars >= BATCH_CHARACTERS:  # some pages at a time bound memory
+                    yield told(at + 1)
+                    begin, listed, held, chars = at + 1, [], 0, 0
+            if listed:
+                yield told(batch.num_rows)
 
-    return pages.select(*kept).mapInArrow(run, schema)
+    return (spread(pages.select(*kept), key) if key else pages.select(*kept)).mapInArrow(run, schema)
 
 
 def has_class(e: Column, name: str) -> Column:
@@ -135,14 +194,16 @@ def tables(test: Callable[[Column], Column]) -> Column:
     return F.transform(F.filter("elements", lambda e: (e["tag"] == "table") & test(e)), lambda e: e["node"])
 
 
-def cells(listed: DataFrame, key: str, wanted: Column, tags: tuple[str, ...] = ("td", "th")) -> DataFrame:
-    """key, table_no, row, part, node, cell_no, col, span, cell: of the tables ``wanted`` (their numbers), cells in rows.
+def cells(listed: DataFrame, key: str, wanted: Column, tags: tuple[str, ...] = ("td", "th"), also: tuple[str, ...] = (), reads: tuple[str, ...] = ("text", "joined", "marked")) -> DataFrame:
+    """key, columns ``also``, table_no, row, part, node, span, cell_class, the texts ``reads``, cell_no, col: of the tables ``wanted`` (their numbers), cells in rows.
 
-    ``col`` is the column at which a cell begins; a span is 1 to 1000, and 1 where it is no number.
+    ``col`` is the column at which a cell begins; a span is 1 to 1000, and 1 where it is no number. Rows are dealt by key, so
+    what a page's cells tell of each other needs no further shuffle.
     """
     placed = listed.withColumn("_wanted", wanted).withColumn("_cells", F.filter("elements", lambda e: e["tag"].isin(*tags) & (e["row"] >= 0) & F.array_contains("_wanted", e["table"])))
-    told = F.transform("_cells", lambda e: F.struct((F.array_position("_wanted", e["table"]) - 1).cast("int").alias("table_no"), e["row"].alias("row"), e["part"].alias("part"), e["node"].alias("node"), F.least(F.greatest(F.coalesce(attribute(e, "colspan").try_cast("int"), F.lit(1)), F.lit(1)), F.lit(WIDEST)).alias("span"), attribute(e, "class").alias("cell_class"), shown(e).alias("text"), joined(e).alias("joined"), shown(F.get(inside(e, lambda x: (x["tag"] == "span") & has_class(x, "txt")), F.lit(0))).alias("marked")))
-    rows = placed.select(key, F.explode(told).alias("c")).select(key, "c.*")
+    read = {"text": shown, "joined": joined, "marked": lambda e: shown(F.get(inside(e, lambda x: (x["tag"] == "span") & has_class(x, "txt")), F.lit(0)))}
+    told = F.transform("_cells", lambda e: F.struct((F.array_position("_wanted", e["table"]) - 1).cast("int").alias("table_no"), e["row"].alias("row"), e["part"].alias("part"), e["node"].alias("node"), F.least(F.greatest(F.coalesce(attribute(e, "colspan").try_cast("int"), F.lit(1)), F.lit(1)), F.lit(WIDEST)).alias("span"), attribute(e, "class").alias("cell_class"), *(read[name](e).alias(name) for name in reads)))
+    rows = placed.select(key, *also, F.explode(told).alias("c")).select(key, *also, "c.*").repartition(F.col(key))
     order = Window.partitionBy(key, "row").orderBy("node")
     before = F.sum("span").over(order.rowsBetween(Window.unboundedPreceding, -1))
     return rows.withColumns({"cell_no": F.row_number().over(order) - 1, "col": F.coalesce(before, F.lit(0)).cast("int")})

@@ -42,7 +42,7 @@ def debenture_prices(lines: DataFrame) -> DataFrame:
 
 def certificate_prices(pages: DataFrame, key: str, html: str) -> DataFrame:
     """key, reference_date, identifier, price: of a page's first table whose first row names all three; the last positive price wins."""
-    read = cells(elements(pages.select(key, html), html), key, tables(lambda e: has_class(e, PRICE_TABLE)))
+    read = cells(elements(pages.select(key, html), html, key), key, tables(lambda e: has_class(e, PRICE_TABLE)))
     first = read.groupBy(key, "table_no").agg(F.min("row").alias("_head"))
     heads = read.join(first, [key, "table_no"]).where("row = _head").withColumn("_key", label_key(F.col("joined")))
     places = heads.groupBy(key, "table_no", "_head").agg(*(F.min(F.when(F.col("_key").isin(*names), F.col("cell_no"))).alias(f"_{meaning}") for meaning, names in HEADERS.items())).where(" and ".join(f"_{m} is not null" for m in HEADERS))

@@ -33,7 +33,7 @@ def annual_income(pages: DataFrame, key: str, html: str) -> DataFrame:
 
 def operating_cash_flow(pages: DataFrame, key: str, html: str) -> DataFrame:
     """key, period_end, operating_cash_flow: of the first table, stated in millions; of equal dates the last column counts."""
-    read = cells(elements(pages.select(key, html), html), key, F.slice(tables(lambda e: F.lit(True)), 1, 1)).withColumn("_label", lower_key(F.col("joined")))
+    read = cells(elements(pages.select(key, html), html, key), key, F.slice(tables(lambda e: F.lit(True)), 1, 1)).withColumn("_label", lower_key(F.col("joined")))
     named = read.where((F.col("cell_no") == 0) & F.col("_label").isin(PERIODS, CASH_FLOW)).groupBy(key, F.col("_label").alias("_line")).agg(F.min("row").alias("row"))
     amount = (F.translate("joined", ",", "").try_cast("decimal(28,10)") * MILLION).cast("decimal(38,10)")
     columns = read.where("cell_no > 0").join(named, [key, "row"]).groupBy(key, "cell_no").agg(
@@ -53,7 +53,7 @@ def labelled_balances(pages: DataFrame, key: str, html: str) -> DataFrame:
 
 def listed_totals(pages: DataFrame, key: str, html: str) -> DataFrame:
     """One row a page: totals of its cells, the first amount alone, by its magnitude word; the last valid cell of a label counts."""
-    told = elements(pages.select(key, html), html)
+    told = elements(pages.select(key, html), html, key)
 
     def name(x: Column) -> Column:
         return ((x["tag"] == "span") & (has_class(x, "name") | has_class(x, "d-flex"))) | has_class(x, "title")

@@ -103,3 +103,43 @@ def test_prices(spark, tmp_path):
     trades = P.trade_prices(docs, "doc", "json")
     assert {r["identifier"]: number(r["price"]) for r in trades.collect()} == {"A1": Decimal("102.5"), "B2": 7}
     assert P.wanted(trades, spark.createDataFrame([(" a1 ",), ("a1",)], "code string"), "code").count() == 1
+
+
+def test_plain_markup_is_listed_as_the_parser_lists_it():
+    import random
+
+    from tessera.sources.html import _parsed, _plain
+
+    rng, fast = random.Random(7), 0
+    plain = ["<table>", "</table>", "<tr>", '<td class="a b">', "<TD colspan='2'>", "</td>", "<th>", "<p>", "</p>", "<br/>", "<img src='x' />", "text", " a\n", "<div>", "</div>", "<ul>", "<li>", "<!-- c -->", "<!DOCTYPE html>", "<thead>", "</tbody>", "<span/>", "</x>"]
+    other = ["&amp;", "<td class=x>", "a<b", "<script>if(a<b)</script>", "<title>x</title>", "< p>", "<!-- <td> -->", "&lt", "<", "</"]
+    for n in range(3000):
+        html = "".join(rng.choice(plain if n % 3 or rng.random() < 0.9 else other) for _ in range(rng.randrange(30)))
+        read, told = _plain(html), _parsed(html)
+        told._close(0)
+        assert [{k: v for k, v in r.items() if k != "attrs"} | {"attrs": list(r["attrs"])} for r in told.rows] == _listed(html)
+        fast += read is not None
+    assert 2000 <= fast < 3000
+
+
+def test_pages_of_one_file_are_dealt_out_and_parsed_once(spark):
+    from pyspark.sql import functions as F
+
+    from tessera.sources import html as H
+
+    docs = spark.range(0, 400, 1, 1).select(F.col("id").alias("page"), F.concat(F.lit("<p>a<p>"), F.col("id").cast("string")).alias("html"))
+    read = elements(docs, "html", "page").select("page", F.spark_partition_id().alias("task"), F.get("elements", F.lit(3))["text"].alias("text")).collect()
+    assert sorted((r["page"], r["text"]) for r in read) == sorted((n, str(n)) for n in range(400)) and len({r["task"] for r in read}) >= 4
+    held, H.BATCH_ELEMENTS = H.BATCH_ELEMENTS, 5
+    try:
+        assert sorted((r["page"], len(r["elements"])) for r in elements(docs, "html").collect()) == [(n, 4) for n in range(400)]
+    finally:
+        H.BATCH_ELEMENTS = held
+    for made in (C.detail_fields(docs, "page", "html"), C.payments(docs, "page", "html"), C.profiles(docs, "page", "html")):
+        assert made._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+
+
+def test_cells_that_are_header_and_label(spark):
+    both = '<!-- detalhes --><table class="w728"><tr><td class="nivel1 label">Both</td><td class="data">5</td></tr><tr><td class="label">Under</td><td class="data">6</td></tr></table>'
+    got = {(r["label"], r["section"], r["raw_value"]) for r in C.detail_fields(pages(spark, both), "page", "html").collect()}
+    assert got == {("Both", "Both", "5"), ("Under", "Both", "6")}
