@@ -84,8 +84,10 @@ def multiples(companies: DataFrame, key: str, price: str, shares: str) -> DataFr
 def against_peers(valued: DataFrame, key: str, few: int | None = None) -> DataFrame:
     """key, sector, multiple, value, peers (other companies of the sector), sample (those with the multiple), median, ratio.
 
-    Medians are of the others alone and need three of them.
+    Medians are of the others alone and need three of them. A row a company is written first: what follows reads it several
+    times, and each time would make the statements behind it anew.
     """
+    valued = stage(valued.select(key, "sector", *MULTIPLES), "multiples")
     long = valued.select(key, "sector", F.inline(F.array(*(F.struct(F.lit(m).alias("multiple"), F.col(m).alias("value")) for m in MULTIPLES))))
     half = F.floor(F.col("n") / 2)
     middle = order_statistics(long, ["sector", "multiple"], "value", F.array(half, half + 1, half + 2), few)

@@ -99,3 +99,20 @@ def test_chains_and_cycles(spark):
     assert all(got[k] == (None, None, True) for k in ("x", "y", "z", "into", "self"))
     assert all(got[f"n{k}"] == ("n100", 100 - k, False) for k in range(100)) and len(got) == 9 + 100
     assert underlying.chain_ends(spark.createDataFrame([], "ticker string, underlying string")).count() == 0
+
+
+def test_companies_are_made_once_for_all_their_medians(spark):
+    from pyspark.sql import functions as F
+
+    from tessera.operators import sectors as S
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    made = spark.range(40).select("id", F.lit("s").alias("sector"), *((F.col("id") + n).cast("double").alias(m) for n, m in enumerate(S.MULTIPLES)))
+    found = S.against_peers(made.mapInArrow(count, made.schema), "id").collect()
+    assert len(found) == 40 * len(S.MULTIPLES) and seen.value == 40
