@@ -17,6 +17,8 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.sources.folders import stage
+
 #: Lines whose states one window finds.
 BLOCK = 1 << 16
 _QUOTED = '"[^"]*+(?:""[^"]*+)*+'
@@ -65,20 +67,22 @@ def whole_records(lines: DataFrame, separator: str = ";") -> DataFrame:
     """``lines`` with those of one record joined: ``line_no`` is that of its first line, ``header`` the member's first record.
 
     Columns: archive, member, member_no, line_no (from 0, without gaps in a member), header, text. Rows without a line number stay as they are.
-    ``lines`` is read several times: give a written table where reading it is dear.
+    ``lines`` is read several times: give a written table where reading it is dear. Lines with the state of their block, and with the
+    record they belong to, are written on the way, each once. Tables of a row a member or a block are broadcast.
     """
     names = ["archive", "member", "member_no", "line_no", "header", "text"]
     member = ["archive", "member_no"]
     lines = lines.select(*names)
-    open_members = lines.where(opens(F.col("text"), separator)).select(*member).distinct()
+    open_members = F.broadcast(stage(lines.where(opens(F.col("text"), separator)).select(*member).distinct(), "open"))
     plain = lines.join(open_members, member, "left_anti")
-    ends, goes_on = opens(F.col("text"), separator).cast("int"), opens(F.concat(F.lit('"'), "text"), separator).cast("int")
-    read = lines.join(open_members, member, "left_semi").where("line_no is not null").withColumn("block", F.floor(F.col("line_no") / BLOCK)).withColumns({"outside": ends, "inside": goes_on})
+    ends, goes_on = opens(F.col("text"), separator).cast("int"), F.when(~F.contains("text", F.lit('"')), F.lit(1)).otherwise(opens(F.concat(F.lit('"'), "text"), separator).cast("int"))
+    # Their header is replaced by a whole one, so it does not travel.
+    read = lines.drop("header").join(open_members, member, "left_semi").where("line_no is not null").withColumn("block", F.floor(F.col("line_no") / BLOCK)).withColumns({"outside": ends, "inside": goes_on})
     read = read.withColumns({"sets": F.when(F.col("outside") == F.col("inside"), F.col("outside")), "swaps": ((F.col("outside") == 1) & (F.col("inside") == 0)).cast("int")})
     block = [*member, "block"]
     read = read.withColumn("total", _total(block, "line_no"))
     set_to, swap = _before(block, "line_no")
-    read = read.withColumns({"set_before": set_to, "swap_before": swap})
+    read = stage(read.withColumns({"set_before": set_to, "swap_before": swap}).drop("sets", "swaps", "total"), "states")
 
     # The functions of the blocks, and by them the state in which each block begins; a row a block.
     last = F.max(F.struct("line_no", "set_before", "swap_before", "outside", "inside")).alias("last")
@@ -91,17 +95,18 @@ def whole_records(lines: DataFrame, separator: str = ";") -> DataFrame:
     blocks = blocks.select(*block, F.coalesce(set_to, swap).alias("begins"))
 
     state = F.coalesce("set_before", F.pmod(F.col("begins") + F.col("swap_before"), F.lit(2)))
-    told = read.join(blocks, block).withColumn("inside_before", state).withColumn("starts", F.when(F.col("inside_before") == 0, F.col("line_no")))
+    told = read.join(F.broadcast(blocks), block).withColumn("inside_before", state).withColumn("starts", F.when(F.col("inside_before") == 0, F.col("line_no")))
     so_far = Window.partitionBy(*block).orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    own = told.withColumn("start", F.max("starts").over(so_far))
+    own = stage(told.withColumn("start", F.max("starts").over(so_far)).drop("set_before", "swap_before", "begins", "inside"), "placed")
     earlier = own.groupBy(*block).agg(F.max("starts").alias("latest")).select(*block, F.max("latest").over(Window.partitionBy(*member).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)).alias("carried"))
-    placed = own.join(earlier, block).withColumn("start", F.coalesce("start", "carried"))
+    placed = own.join(F.broadcast(earlier), block).withColumn("start", F.coalesce("start", "carried"))
     alone = (F.col("inside_before") == 0) & (F.col("outside") == 0)
     # Only lines of records with several lines are brought together.
-    joined = placed.where(~alone).groupBy(*member, "start").agg(F.first("member").alias("member"), F.first("header").alias("header"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "text"))), lambda x: x["text"]), "\n").alias("text"))
-    records = placed.where(alone).select(*names).unionByName(joined.withColumnRenamed("start", "line_no").select(*names))
-    first = records.where("line_no = 0").select(*member, F.col("text").alias("whole_header"))
-    records = records.join(first, member).withColumn("header", F.col("whole_header")).select(*names)
+    joined = placed.where(~alone).groupBy(*member, "start").agg(F.first("member").alias("member"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "text"))), lambda x: x["text"]), "\n").alias("text"))
+    bare = [c for c in names if c != "header"]
+    records = placed.where(alone).select(*bare).unionByName(joined.withColumnRenamed("start", "line_no").select(*bare))
+    first = records.where("line_no = 0").select(*member, F.col("text").alias("header"))
+    records = records.join(F.broadcast(first), member).select(*names)
     return plain.unionByName(records).unionByName(lines.join(open_members, member, "left_semi").where("line_no is null"))
 
 

@@ -29,7 +29,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter
 SCHEMA = "archive string, member string, member_no int, year int, line_no long, header string, text string, error string"
 _NAMES = [c.split()[0] for c in SCHEMA.split(", ")]
 _TYPES = [pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.string(), pa.string(), pa.string()]
-BATCH_LINES, BATCH_CHARS, READERS = 10_000, 1 << 22, 16
+BATCH_LINES, BATCH_CHARS, READERS, WRITE_LINES = 10_000, 1 << 22, 16, 1000
 
 _TESTS = {
     EqualTo: lambda v, f: v == f.value, In: lambda v, f: v in f.value, StringStartsWith: lambda v, f: v.startswith(f.value), StringEndsWith: lambda v, f: v.endswith(f.value), StringContains: lambda v, f: f.value in v,
@@ -171,9 +171,14 @@ def write_archives(rows: DataFrame, folder: str, encoding: str = "latin-1") -> D
         store.create_dir(at, recursive=True)
         done: list[tuple[str, int]] = []
         now = member = part = sink = opened = None
-        count = 0
+        count, held = 0, []
+
+        def give() -> None:
+            part.write("".join(held).encode(encoding))
+            held.clear()
 
         def end_archive() -> None:
+            give()
             part.close()
             opened.close()
             sink.close()
@@ -190,10 +195,13 @@ def write_archives(rows: DataFrame, folder: str, encoding: str = "latin-1") -> D
                     opened = zipfile.ZipFile(sink, "w", zipfile.ZIP_DEFLATED)
                 if name != member:
                     if member is not None:
+                        give()
                         part.close()
                     member, count = name, count + 1
                     part = opened.open(name, "w", force_zip64=True)
-                part.write(text.encode(encoding) + b"\n")
+                held.append(f"{text}\n")
+                if len(held) >= WRITE_LINES:
+                    give()
         if now:
             end_archive()
         yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in done], pa.string()), pa.array([n for _, n in done], pa.int32())], ["archive", "members"])

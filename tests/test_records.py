@@ -152,3 +152,19 @@ def test_written_archives_read_back(spark, tmp_path):
     assert {tuple(r) for r in done} == {(f"z_{k}_2020.zip", 2) for k in range(3)}
     got = {(r["archive"].split("/")[-1], r["member"], r["text"]) for r in zip_members.member_lines(spark, f"file://{tmp_path}/out").collect()}
     assert got == {(a, m, t) for a, m, _, t in rows}
+
+
+def test_lines_are_read_a_few_times(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    rows = as_lines(["h;t\n" + "".join(f'{n};"x\ny"\n' for n in range(50))])
+    lines = spark.createDataFrame(rows, COLUMNS)
+    whole = records.whole_records(lines.mapInArrow(count, lines.schema))
+    assert sorted(r["line_no"] for r in whole.collect()) == [0, *range(1, 100, 2)]
+    # Open members, closed ones, states, and rows without a number.
+    assert seen.value <= 4 * len(rows)
