@@ -5,20 +5,21 @@ buckets at later offsets. Here only the offsets that can decide keep a pointer.
 one offset inside it: that of its smallest q-gram hash, the leftmost of equals. Equal windows name the same offset, so a
 repeat is always found from the bucket of that q-gram.
 
-1. Initial buckets: the distinct q-grams named in each document are dealt out by hash; buckets met in one document only
-   are dropped (most are).
-2. Refinement: for the others, each document sends the bytes around the offset that its windows span. A pointer's
+1. Initial buckets: the pointers of each document are dealt out by the hash of their q-gram. Pointers with one content, the bytes that all
+   their windows span, hold the same windows: the smallest document's stands for them, and the windows of the others' all repeat. What stands
+   in a bucket of one document only is dropped (most of it).
+2. Refinement: for what is left, one pointer for each content, its document sends the bytes. A pointer's
    identifiers at the next offset to the left and to the right come from those of the offset before (one multiply and
    add each), so the 50-byte window at each start is known from the bucket, the identifier of its left part and the
    identifier of its right part; of equal identifiers the smallest document wins.
-3. Hot buckets are refined in a further round. Their pointers are dealt out, so that no task has a bucket; a window that a smaller document
-   shows there is settled. What is left open goes on under its refined bucket, the window's identifier, of which a deal
-   leaves one document each, so that its rows are as few as the deals. Which buckets are hot is told by a histogram of fixed size over
-   hashes of q-grams; it decides the way of a pointer, not the result.
+3. Hot buckets are refined in further rounds. Their pointers are dealt out, so that no task has a bucket; a window that a smaller document
+   shows there is settled. Runs of windows that stay open go on as pointers of a refined bucket: windows with nearly the same number of bytes
+   before the q-gram share most bytes, and buckets of 18, 9, 3 and 1 such numbers are told apart by the identifiers of those bytes. Only what
+   is still hot takes a further round, so rows go with the pointers, not with their windows. Which buckets are hot is told by a histogram of fixed
+   size over hashes of buckets; it decides the way of a pointer, not the result.
 4. The starts that also occur in a smaller document go back to their document as runs; it cuts the union out.
 
-Copies inside a batch of documents are settled there: of equal pointers only the smallest document's is sent on, so
-a passage shared by a third of all documents is sent once a batch. Identifiers are 64-bit hashes.
+Identifiers are 64-bit hashes.
 
 Defined cases: null text counts as empty; texts shorter than ``span`` lose nothing; a null doc_id is no smaller and no
 larger than any other and loses nothing; rows that repeat a doc_id don't see each other's strings, since neither is
@@ -33,7 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import as_documents, drop, stage
@@ -45,6 +46,10 @@ Q = 16
 BUCKET_BYTES, SLAB, SLAB_BITS = 64 << 20, 1 << 20, 21
 #: Cells of the histogram that tells hot buckets; one is hot with over the HOT-th part of all pointers, at every size; parts that its pointers are dealt to.
 CELLS, HOT, DEALS = 1 << 16, 1000, 64
+#: Numbers of bytes before the q-gram that share a refined bucket, by round.
+WIDTHS = (18, 9, 3, 1)
+#: Contents of a q-gram that a batch sends to the q-gram's bucket; further ones of several documents are spread by content.
+BUSY = 64
 _LEFT, _RIGHT = _U(0x9E3779B97F4A7C15), _U(0xC2B2AE3D27D4EB4F)
 
 
@@ -95,124 +100,156 @@ def _slabs(texts: list[bytes], span: int) -> Iterator[tuple]:
         at = stop
 
 
+def _contents(data: bytes, offset: np.ndarray, first: np.ndarray, last: np.ndarray, span: int) -> np.ndarray:
+    """An identifier of the bytes that a pointer's windows span, and of its place in them: equal ones hold the same windows."""
+    up, down = _Powers.of(len(data))
+    sums = np.concatenate([[_U(0)], np.cumsum(_letters()[np.frombuffer(data, np.uint8)] * up)])
+    size = last + span - first
+    return mix(mix((sums[first + size] - sums[first]) * down[first]) ^ (size.astype(_U) << _U(8)) ^ (offset - first).astype(_U))
+
+
+def _breaks(*columns: np.ndarray) -> np.ndarray:
+    """Where a row differs from the one before in a column; the first row does."""
+    n = len(columns[0])
+    return np.concatenate([np.ones(min(n, 1), bool), np.logical_or.reduce([c[1:] != c[:-1] for c in columns])]) if n else np.zeros(0, bool)
+
+
+def _split(rows: np.ndarray, by: np.ndarray) -> list[np.ndarray]:
+    """Rows, in parts of one value of ``by``, which is sorted."""
+    return np.split(rows, np.flatnonzero(np.diff(by)) + 1) if len(rows) else []
+
+
 def _named_grams(span: int, buckets: int):
-    """Rows (bucket, grams, rows, doc ids) for the reducers, and rows (doc, grams) that are shared inside the batch."""
-    names = ["bucket", "doc_id", "fp", "grams", "docs", "fps", "shared"]
+    """Rows (bucket, grams, contents, doc ids, shared) for the reducers, and rows (doc, contents) that a smaller document of the batch holds too."""
+    names = ["bucket", "doc_id", "grams", "contents", "docs", "shared"]
+    types = [pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.bool_())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [t.as_buffer().to_pybytes() for t in batch.column("text")]
-            ids, fps = batch.column("doc_id").to_numpy(), batch.column("fp").to_numpy()
-            grams, rows = [np.zeros(0, _U)], [np.zeros(0, np.int64)]
+            ids = batch.column("doc_id").to_numpy()
+            grams, contents, docs = [np.zeros(0, _U)], [np.zeros(0, _U)], [np.zeros(0, np.int64)]
             for data, row, _, starts, ends in _slabs(texts, span):
-                gram, offset, _, _ = pointers(data, starts, ends, span)
-                grams.append(gram)
-                rows.append(row[np.searchsorted(ends, offset, "right")] if len(row) > 1 else np.full(len(gram), row[0]))
-            gram, row = np.concatenate(grams), np.concatenate(rows)
-            order = np.lexsort((row, gram))
-            gram, row = gram[order], row[order]
-            keep = np.concatenate([[True], (gram[1:] != gram[:-1]) | (row[1:] != row[:-1])]) if len(gram) else np.zeros(0, bool)
-            gram, row = gram[keep], row[keep]
-            new = np.concatenate([[True], gram[1:] != gram[:-1]]) if len(gram) else np.zeros(0, bool)
-            group = np.cumsum(new) - 1
-            shared = np.bincount(group)[group] > 1 if len(group) else np.zeros(0, bool)
+                gram, offset, first, last = pointers(data, starts, ends, span)
+                if len(gram):
+                    grams.append(gram)
+                    contents.append(_contents(data, offset, first, last, span))
+                    docs.append(ids[row[np.searchsorted(ends, offset, "right")]] if len(row) > 1 else np.full(len(gram), ids[row[0]]))
+            gram, content, doc = np.concatenate(grams), np.concatenate(contents), np.concatenate(docs)
+            order = np.lexsort((doc, content, gram))
+            gram, content, doc = gram[order], content[order], doc[order]
+            new = _breaks(gram, content)
+            least = doc[np.flatnonzero(new)[np.cumsum(new) - 1]]
             out: list[tuple] = []
-            # Shared here: the documents know at once; one of them stands for all elsewhere.
-            known = np.flatnonzero(shared & ~new)
-            known = known[np.argsort(row[known], kind="stable")]
-            for part in np.split(known, np.flatnonzero(np.diff(row[known])) + 1) if len(known) else []:
-                out.append((None, int(ids[row[part[0]]]), int(fps[row[part[0]]]), gram[part].view(np.int64), None, None, None))
-            send = np.flatnonzero(new)
-            bucket = (gram[send] % _U(buckets)).astype(np.int64)
-            send = send[np.argsort(bucket, kind="stable")]
-            bucket.sort()
-            for part in np.split(np.arange(len(send)), np.flatnonzero(np.diff(bucket)) + 1) if len(send) else []:
-                some = send[part]
-                out.append((int(bucket[part[0]]), None, None, gram[some].view(np.int64), ids[row[some]], fps[row[some]], shared[some]))
+            # A smaller document of the batch holds the same: these documents know at once; that one stands for all elsewhere.
+            known = np.flatnonzero((doc > least) & _breaks(gram, content, doc))
+            known = known[np.argsort(doc[known], kind="stable")]
+            for part in _split(known, doc[known]):
+                out.append((None, int(doc[part[0]]), None, content[part].view(np.int64), None, None))
+            gram, content, doc = gram[new], content[new], doc[new]
+            head = np.flatnonzero(_breaks(gram))
+            count = np.diff(np.append(head, len(gram)))
+            mixed = np.repeat(np.minimum.reduceat(doc, head) < np.maximum.reduceat(doc, head), count) if len(head) else np.zeros(0, bool)
+            spread = mixed & (np.arange(len(gram)) - np.repeat(head, count) >= BUSY)
+            bucket = (np.where(spread, content, gram) % _U(buckets)).astype(np.int64)
+            # Half of a q-gram's hash is enough beside its bucket: where two meet by chance, more is sent than must be. Sorted ids pack well.
+            half = (gram >> _U(32)).astype(np.uint32).view(np.int32)
+            send = np.lexsort((doc, bucket))
+            for some in _split(send, bucket[send]):
+                out.append((int(bucket[some[0]]), None, half[some], content[some].view(np.int64), doc[some], mixed[some]))
             for at in range(0, max(1, len(out)), 2000):
-                columns = list(zip(*out[at : at + 2000], strict=True)) if out else [()] * 7
-                types = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.bool_())]
+                columns = list(zip(*out[at : at + 2000], strict=True)) if out else [()] * 6
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types, strict=True)], names)
 
     return run
 
 
-_NAMED = "bucket long, doc_id long, fp long, grams array<long>, docs array<long>, fps array<long>, shared array<boolean>"
+_NAMED = "bucket long, doc_id long, grams array<int>, contents array<long>, docs array<long>, shared array<boolean>"
 
 
 def _shared_grams(group: pa.Table) -> pa.Table:
-    """Of one bucket group: the (document, gram) pairs whose gram more than one document named, one row a document."""
+    """Of one bucket group: the contents that a smaller document holds too (settled), and one document for each other content of a q-gram of several."""
 
     def flat(name):
         column = group.column(name).combine_chunks()
         return (column.flatten() if isinstance(column, pa.ListArray) else pa.concat_arrays([c.flatten() for c in column.chunks])).to_numpy(zero_copy_only=False)
 
-    gram, doc, fp, known = (flat(c) for c in ("grams", "docs", "fps", "shared"))
-    _, code, count = np.unique(gram, return_inverse=True, return_counts=True)
-    hit = (count[code] > 1) | known.astype(bool)
-    gram, doc, fp = gram[hit], doc[hit], fp[hit]
-    order = np.lexsort((gram, fp, doc))
-    gram, doc, fp = gram[order], doc[order], fp[order]
-    first = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (fp[1:] != fp[:-1])])) if len(doc) else np.zeros(0, np.int64)
-    offsets = np.append(first, len(gram)).astype(np.int32)
-    return pa.table({"doc_id": doc[first], "fp": fp[first], "grams": pa.ListArray.from_arrays(pa.array(offsets), pa.array(gram))})
-
-
-def _gather(raw: np.ndarray, at: np.ndarray, size: np.ndarray, width: int) -> np.ndarray:
-    """(n, width) bytes from each place on; zero beyond the size."""
-    index = at[:, None] + np.arange(width)
-    return np.where(np.arange(width) < size[:, None], raw[np.minimum(index, len(raw) - 1)], 0).astype(np.uint8)
+    gram, content, doc, known = (flat(c) for c in ("grams", "contents", "docs", "shared"))
+    order = np.lexsort((doc, content, gram))
+    gram, content, doc, known = gram[order], content[order], doc[order], known[order].astype(bool)
+    new, head = _breaks(gram, content), np.flatnonzero(_breaks(gram))
+    settled = doc > doc[np.flatnonzero(new)[np.cumsum(new) - 1]] if len(doc) else np.zeros(0, bool)
+    if len(head):
+        # The smallest documents of a q-gram's contents decide: if they are one, it holds every window of the q-gram first.
+        firsts = np.flatnonzero(new)
+        heads = np.searchsorted(firsts, head)
+        some = (np.minimum.reduceat(doc[firsts], heads) < np.maximum.reduceat(doc[firsts], heads)) | np.logical_or.reduceat(known, head)
+        mixed = np.repeat(some, np.diff(np.append(head, len(gram))))
+    else:
+        mixed = np.zeros(0, bool)
+    hit = settled | (new & mixed)
+    content, doc, settled = content[hit], doc[hit], settled[hit]
+    order = np.lexsort((content, settled, doc))
+    content, doc, settled = content[order], doc[order], settled[order]
+    first = np.flatnonzero(_breaks(doc, settled))
+    offsets = np.append(first, len(doc)).astype(np.int32)
+    return pa.table({"doc_id": doc[first], "settled": settled[first], "contents": pa.ListArray.from_arrays(pa.array(offsets), pa.array(content))})
+
+
+def _joined(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Marks (start * 64 + further starts) of the starts from low to high, where neighbours are joined."""
+    new = np.flatnonzero(np.concatenate([[True], low[1:] != high[:-1] + 1]))
+    first, last = low[new], high[np.append(new[1:], len(low)) - 1]
+    pieces = (last - first) // 64 + 1
+    start = np.repeat(first, pieces) + 64 * (np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces))
+    return start * 64 + np.minimum(63, np.repeat(last, pieces) - start)
 
 
 def _contexts(span: int):
-    """Rows (gram, doc, offset, low, high, bytes) of the shared pointers; equal ones of a batch are settled here as marks."""
-    names = ["gram", "doc_id", "fp", "at", "lead", "more", "around", "mark"]
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int64()]
+    """Rows (gram, doc, offset, low, high, bytes) of the wanted pointers, and rows (doc, marks) of the settled ones."""
+    names = ["gram", "doc_id", "fp", "at", "lead", "more", "around", "marks"]
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.int64())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [t.as_buffer().to_pybytes() for t in batch.column("text")]
             ids, fps = batch.column("doc_id").to_numpy(), batch.column("fp").to_numpy()
-            wanted = [np.unique(np.concatenate([np.asarray(x, np.int64) for x in w])).view(_U) if len(w) else np.zeros(0, _U) for w in batch.column("wanted").to_pylist()]
-            wanted = [np.sort(w) for w in wanted]
+            settled, wanted = ([x.values.flatten().to_numpy(zero_copy_only=False).view(_U) for x in batch.column(c)] for c in ("settled", "wanted"))
+            both = [np.concatenate(x) for x in zip(settled, wanted, strict=True)]
+            ranks = [np.argsort(x, kind="stable") for x in both]
             for data, row, shift, starts, ends in _slabs(texts, span):
                 gram, offset, low, high = pointers(data, starts, ends, span)
+                if not len(gram):
+                    continue
+                content = _contents(data, offset, low, high, span)
                 local = np.searchsorted(ends, offset, "right") if len(row) > 1 else np.zeros(len(gram), np.int64)
-                keep = np.zeros(len(gram), bool)
+                way = np.zeros(len(gram), np.int8)  # 1: settled, 2: wanted
                 edges = np.searchsorted(local, np.arange(len(row) + 1))
                 for k in range(len(row)):
-                    w, own = wanted[row[k]], gram[edges[k] : edges[k + 1]]
-                    if len(w) and len(own):
-                        keep[edges[k] : edges[k + 1]] = w[np.minimum(np.searchsorted(w, own), len(w) - 1)] == own
-                gram, offset, low, high, local = gram[keep], offset[keep], low[keep], high[keep], local[keep]
-                if not len(gram):
-                    continue
-                raw = np.frombuffer(data, np.uint8)
-                size = high + span - low
-                around = _gather(raw, low, size, 2 * span)
-                # Equal pointers of this slab: the smallest document stays, the others' windows all repeat.
-                doc = ids[row[local]]
-                rolled = mix((_letters()[around] * _Powers.of(2 * span)[0]).sum(axis=1) ^ (size.astype(_U) << _U(8)) ^ (offset - low).astype(_U))
-                order = np.lexsort((doc, rolled))
-                head = np.concatenate([[True], rolled[order][1:] != rolled[order][:-1]])
-                least = doc[order][np.flatnonzero(head)[np.cumsum(head) - 1]]
+                    own, rank, i = content[edges[k] : edges[k + 1]], ranks[row[k]], row[k]
+                    if len(rank) and len(own):
+                        at = rank[np.minimum(np.searchsorted(both[i], own, sorter=rank), len(rank) - 1)]
+                        way[edges[k] : edges[k + 1]] = np.where(both[i][at] == own, np.where(at < len(settled[i]), 1, 2), 0)
                 place = (low - starts[local] + shift[local]).astype(np.int64)
-                settled = np.zeros(len(doc), bool)
-                settled[order] = doc[order] > least
-                mark = place * 64 + (high - low)
-                gone, stay = np.flatnonzero(settled), np.flatnonzero(~settled)
-                yield pa.RecordBatch.from_arrays([pa.nulls(len(gone), pa.int64()), pa.array(doc[gone]), pa.array(fps[row[local[gone]]]), *(pa.nulls(len(gone), t) for t in types[3:7]), pa.array(mark[gone])], names)
-                pieces = [around[k, : size[k]].tobytes() for k in stay.tolist()]
-                yield pa.RecordBatch.from_arrays([pa.array(gram[stay].view(np.int64)), pa.array(doc[stay]), pa.array(fps[row[local[stay]]]), pa.array(place[stay]), pa.array((offset - low)[stay].astype(np.int32)), pa.array((high - low)[stay].astype(np.int32)), pa.array(pieces, pa.binary()), pa.nulls(len(stay), pa.int64())], names)
+                gone, stay = np.flatnonzero(way == 1), np.flatnonzero(way == 2)
+                if len(gone):
+                    parts = _split(gone, local[gone])
+                    own = np.array([part[0] for part in parts])
+                    marks = [_joined(place[part], (place + high - low)[part]) for part in parts]
+                    yield pa.RecordBatch.from_arrays([pa.nulls(len(own), pa.int64()), pa.array(ids[row[local[own]]]), pa.array(fps[row[local[own]]]), *(pa.nulls(len(own), t) for t in types[3:7]), pa.array(marks, types[7])], names)
+                if len(stay):
+                    size = high[stay] + span - low[stay]
+                    pieces = [data[a : a + n] for a, n in zip(low[stay].tolist(), size.tolist(), strict=True)]
+                    yield pa.RecordBatch.from_arrays([pa.array(gram[stay].view(np.int64)), pa.array(ids[row[local[stay]]]), pa.array(fps[row[local[stay]]]), pa.array(place[stay]), pa.array((offset - low)[stay].astype(np.int32)), pa.array((high - low)[stay].astype(np.int32)), pa.array(pieces, pa.binary()), pa.nulls(len(stay), types[7])], names)
 
     return run
 
 
-_CONTEXTS = "gram long, doc_id long, fp long, at long, lead int, more int, around binary, mark long"
+_CONTEXTS = "gram long, doc_id long, fp long, at long, lead int, more int, around binary, marks array<long>"
 
 
-def _window_keys(gram: np.ndarray, lead: np.ndarray, more: np.ndarray, around: list[bytes], span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, step, identifier) of every window of every pointer; step counts starts from the pointer's first."""
+def _window_keys(gram: np.ndarray, lead: np.ndarray, more: np.ndarray, around: list[bytes], span: int) -> tuple[np.ndarray, ...]:
+    """(row, step, identifier) of every window of every pointer, and the identifiers of the bytes left and right of each; step counts starts from the pointer's first."""
     n, width = len(gram), span - Q
     joined = np.frombuffer(b"".join(around), np.uint8)
     size = np.array([len(x) for x in around], np.int64)
@@ -233,20 +270,27 @@ def _window_keys(gram: np.ndarray, lead: np.ndarray, more: np.ndarray, around: l
     step = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
     before = lead[row] - step  # bytes of the window to the left of the q-gram
     key = mix(mix(left[row, before] ^ gram[row]) + mix(right[row, width - before]) * _LEFT + before.astype(_U))
-    return row, step, key
+    return row, step, key, left, right
+
 
+def _open_pointers(at: np.ndarray, lead: np.ndarray, around: list[bytes], row: np.ndarray, step: np.ndarray, span: int, width: int, gram: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, list[pa.Array]]:
+    """Runs of open windows as pointers of refined buckets: each one's old row, and its gram, at, lead, more and around."""
+    node = (lead[row] - step) // width
+    first = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (step[1:] != step[:-1] + 1) | (node[1:] != node[:-1])])) if len(row) else np.zeros(0, np.int64)
+    r, s, node, more = row[first], step[first], node[first], np.diff(np.append(first, len(row))) - 1
+    # All windows of a refined bucket share that many bytes before the q-gram and that many after it.
+    before = node * width
+    after = np.maximum(0, span - Q - before - width + 1)
+    key = mix(mix(left[r, before] ^ gram[r]) + mix(right[r, after]) * _RIGHT + node.astype(_U) + _U(1))
+    pieces = [around[i][a : a + n] for i, a, n in zip(r.tolist(), s.tolist(), (more + span).tolist(), strict=True)]
+    return r, [pa.array(key.view(np.int64)), pa.array(at[r] + s), pa.array((lead[r] - s).astype(np.int32)), pa.array(more.astype(np.int32)), pa.array(pieces, pa.binary())]
 
-def _open_windows(key: np.ndarray, doc: np.ndarray, fp: np.ndarray, start: np.ndarray) -> pa.RecordBatch:
-    """A row for each window identifier and document, with its starts there; they go on to the next round."""
-    order = np.lexsort((fp, doc, key))
-    key, doc, fp = key[order], doc[order], fp[order]
-    first = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (doc[1:] != doc[:-1]) | (fp[1:] != fp[:-1])])) if len(key) else np.zeros(0, np.int64)
-    starts = pa.ListArray.from_arrays(pa.array(np.append(first, len(key)).astype(np.int32)), pa.array(start[order]))
-    return pa.RecordBatch.from_arrays([pa.array(doc[first]), pa.array(fp[first]), pa.nulls(len(first), pa.int64()), pa.array(key[first].view(np.int64)), starts], ["doc_id", "fp", "mark", "window", "starts"])
 
+_REFINED = "doc_id long, fp long, mark long, gram long, at long, lead int, more int, around binary"
 
-def _repeats(span: int, refine: bool = False):
-    """Reads pointers sorted by (gram, doc); yields the runs of starts whose window occurs in a smaller document, and to ``refine`` the open windows."""
+
+def _repeats(span: int, width: int = 0):
+    """Reads pointers sorted by (gram, doc); yields the runs of starts whose window occurs in a smaller document, and with a ``width`` the open windows as pointers of refined buckets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, kept_key, kept_doc = None, np.zeros(0, _U), np.zeros(0, np.int64)  # of the gram that the last batch ended in
@@ -256,7 +300,8 @@ def _repeats(span: int, refine: bool = False):
             gram = batch.column("gram").to_numpy().view(_U)
             doc, fp, at = (batch.column(c).to_numpy() for c in ("doc_id", "fp", "at"))
             lead, more = batch.column("lead").to_numpy().astype(np.int64), batch.column("more").to_numpy()
-            row, step, key = _window_keys(gram, lead, more, [x.as_buffer().to_pybytes() for x in batch.column("around")], span)
+            around = [x.as_buffer().to_pybytes() for x in batch.column("around")]
+            row, step, key, left, right = _window_keys(gram, lead, more, around, span)
             if gram[0] != last:
                 kept_key, kept_doc = kept_key[:0], kept_doc[:0]
             every, docs = np.concatenate([kept_key, key]), np.concatenate([kept_doc, doc[row]])
@@ -266,14 +311,16 @@ def _repeats(span: int, refine: bool = False):
             least[order] = docs[order][np.flatnonzero(new)[np.cumsum(new) - 1]]
             hit = np.flatnonzero(least[len(kept_key) :] < doc[row])
             r, s = row[hit], step[hit]
-            starts = np.flatnonzero(np.concatenate([[True], (r[1:] != r[:-1]) | (s[1:] != s[:-1] + 1)])) if len(r) else np.zeros(0, np.int64)
-            runs = np.diff(np.append(starts, len(r))) - 1
-            head = starts
+            head = np.flatnonzero(np.concatenate([[True], (r[1:] != r[:-1]) | (s[1:] != s[:-1] + 1)])) if len(r) else np.zeros(0, np.int64)
+            runs = np.diff(np.append(head, len(r))) - 1
             settled = [pa.array(doc[r[head]]), pa.array(fp[r[head]]), pa.array((at[r[head]] + s[head]) * 64 + runs)]
-            if refine:
-                left = np.flatnonzero(least[len(kept_key) :] >= doc[row])
-                yield pa.RecordBatch.from_arrays([*settled, pa.nulls(len(head), pa.int64()), pa.nulls(len(head), pa.list_(pa.int64()))], ["doc_id", "fp", "mark", "window", "starts"])
-                yield _open_windows(key[left], doc[row[left]], fp[row[left]], at[row[left]] + step[left])
+            if width:
+                names = ["doc_id", "fp", "mark", "gram", "at", "lead", "more", "around"]
+                types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([*settled, *(pa.nulls(len(head), t) for t in types)], names)
+                open_ = np.flatnonzero(least[len(kept_key) :] >= doc[row])
+                r, refined = _open_pointers(at, lead, around, row[open_], step[open_], span, width, gram, left, right)
+                yield pa.RecordBatch.from_arrays([pa.array(doc[r]), pa.array(fp[r]), pa.nulls(len(r), pa.int64()), *refined], names)
             else:
                 yield pa.RecordBatch.from_arrays(settled, ["doc_id", "fp", "mark"])
             # Carry over the last gram's identifiers, each with its smallest document.
@@ -319,23 +366,37 @@ def _cut(span: int):
     return run
 
 
+def _over(cells: DataFrame, limit: float) -> list[int]:
+    return [r["cell"] for r in cells.where(F.col("n") > limit).select("cell").collect()]
+
+
 def _hot_cells(cells: DataFrame) -> list[int]:
     """The cells of a histogram of CELLS cells with over the HOT-th part of its sum: fewer than HOT of them."""
-    total = cells.agg(F.sum("n")).first()[0] or 0
-    return [r["cell"] for r in cells.where(F.col("n") * HOT > total).select("cell").collect()]
+    return _over(cells, (cells.agg(F.sum("n")).first()[0] or 0) / HOT)
 
 
-def _refined(pointers_: DataFrame, span: int) -> DataFrame:
-    """Pointers of hot buckets, dealt out: settled runs (mark), and the windows that stay open (window, starts)."""
-    deal = F.pmod(F.xxhash64("doc_id", "fp", "at"), F.lit(DEALS))
-    dealt = pointers_.withColumn("deal", deal).repartition("gram", "deal").drop("deal").sortWithinPartitions("gram", "doc_id")
-    return dealt.mapInArrow(_repeats(span, refine=True), "doc_id long, fp long, mark long, window long, starts array<long>")
+_POINTER = ("gram", "doc_id", "fp", "at", "lead", "more", "around")
+
+
+def _cell() -> Column:
+    return F.pmod(F.xxhash64("gram"), F.lit(CELLS)).cast("int")
 
 
-def _open_repeats(open_: DataFrame) -> DataFrame:
-    """Of open windows the starts in all but the smallest document of a window."""
-    least = F.min("doc_id").over(Window.partitionBy("window"))
-    return open_.select("doc_id", "fp", "starts", least.alias("least")).where("doc_id > least").select("doc_id", "fp", F.explode("starts").alias("start")).select("doc_id", "fp", (F.col("start") * 64).alias("mark"))
+def _cells(pointers_: DataFrame) -> DataFrame:
+    return pointers_.groupBy(_cell().alias("cell")).agg(F.count("*").alias("n"))
+
+
+def _parted(pointers_: DataFrame, hot: list[int]) -> tuple[DataFrame, DataFrame]:
+    """The pointers in hot cells, and the others."""
+    told = F.broadcast(pointers_.sparkSession.createDataFrame([(c,) for c in hot], "cell int"))  # fewer than HOT rows
+    return tuple(pointers_.withColumn("cell", _cell()).join(told, "cell", how).drop("cell") for how in ("left_semi", "left_anti"))
+
+
+def _refined(pointers_: DataFrame, span: int, width: int) -> DataFrame:
+    """Pointers of hot buckets, dealt out: settled runs (mark), and the windows that stay open as pointers of refined buckets."""
+    deal = F.pmod(F.xxhash64("doc_id", "fp", "at"), F.lit(DEALS))
+    dealt = pointers_.withColumn("deal", deal).repartition("gram", "deal").drop("deal").sortWithinPartitions("gram", "doc_id")
+    return dealt.mapInArrow(_repeats(span, width), _REFINED)
 
 
 def repeated_starts(docs: DataFrame, span: int = 50) -> DataFrame:
@@ -345,27 +406,36 @@ def repeated_starts(docs: DataFrame, span: int = 50) -> DataFrame:
     texts = docs.where("doc_id is not null")
     total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(24, math.ceil(total / BUCKET_BYTES))
-    named = stage(texts.mapInArrow(_named_grams(span, buckets), _NAMED), "named-grams")
-    shared = named.where("bucket is not null").select("bucket", "grams", "docs", "fps", "shared").groupBy("bucket").applyInArrow(lambda t: _shared_grams(t.select(["grams", "docs", "fps", "shared"])), "doc_id long, fp long, grams array<long>")
-    wanted = stage(shared.unionByName(named.where("bucket is null").select("doc_id", "fp", "grams")).groupBy("doc_id", "fp").agg(F.collect_list("grams").alias("wanted")), "wanted-grams")
+    named = stage(texts.select("doc_id", "text").mapInArrow(_named_grams(span, buckets), _NAMED), "named-grams")
+    columns = ["grams", "contents", "docs", "shared"]
+    shared = named.where("bucket is not null").select("bucket", *columns).groupBy("bucket").applyInArrow(lambda t: _shared_grams(t.select(columns)), "doc_id long, settled boolean, contents array<long>")
+    told = shared.unionByName(named.where("bucket is null").select("doc_id", F.lit(True).alias("settled"), "contents"))
+    wanted = stage(told.groupBy("doc_id").agg(F.collect_list(F.when(F.col("settled"), F.col("contents"))).alias("settled"), F.collect_list(F.when(~F.col("settled"), F.col("contents"))).alias("wanted")), "wanted-grams")
     drop(named)
-    found = stage(texts.join(wanted, ["doc_id", "fp"]).select("doc_id", "fp", "text", "wanted").mapInArrow(_contexts(span), _CONTEXTS), "contexts")
+    found = stage(texts.join(wanted, "doc_id").select("doc_id", "fp", "text", "settled", "wanted").mapInArrow(_contexts(span), _CONTEXTS), "contexts")
     drop(wanted)
-    pointers_ = found.where("gram is not null").select("gram", "doc_id", "fp", "at", "lead", "more", "around")
-    cell = F.pmod(F.xxhash64("gram"), F.lit(CELLS)).cast("int")
-    hot = _hot_cells(pointers_.groupBy(cell.alias("cell")).agg(F.count("*").alias("n")))
-    known = found.where("gram is null").select("doc_id", "fp", "mark")
-    refined = None
+    pointers_ = found.where("gram is not null").select(*_POINTER)
+    cells = _cells(pointers_)
+    hot = _hot_cells(cells)
+    known = found.where("gram is null").select("doc_id", "fp", "marks")
+    one = F.array("mark").alias("marks")
+    rounds = []
     if hot:
-        told = F.broadcast(docs.sparkSession.createDataFrame([(c,) for c in hot], "cell int"))  # fewer than HOT rows
-        refined = stage(_refined(pointers_.withColumn("cell", cell).join(told, "cell", "left_semi").drop("cell"), span), "refined")
-        pointers_ = pointers_.withColumn("cell", cell).join(told, "cell", "left_anti").drop("cell")
-        known = known.unionByName(refined.where("mark is not null").select("doc_id", "fp", "mark")).unionByName(_open_repeats(refined.where("mark is null")))
+        limit = (cells.agg(F.sum("n")).first()[0] or 0) / HOT
+        rows, pointers_ = _parted(pointers_, hot)
+        for width in WIDTHS:
+            rounds.append(stage(_refined(rows, span, width), "refined"))
+            known = known.unionByName(rounds[-1].where("mark is not null").select("doc_id", "fp", one))
+            rows = rounds[-1].where("mark is null").select(*_POINTER)
+            # A bucket of the last round is one window, of which each deal leaves one document.
+            if width == WIDTHS[-1] or not (hot := _over(_cells(rows), limit)):
+                pointers_ = pointers_.unionByName(rows)
+                break
+            rows, cold = _parted(rows, hot)
+            pointers_ = pointers_.unionByName(cold)
     repeats = pointers_.repartition("gram").sortWithinPartitions("gram", "doc_id").mapInArrow(_repeats(span), "doc_id long, fp long, mark long")
-    marks = stage(repeats.unionByName(known).groupBy("doc_id", "fp").agg(F.collect_list("mark").alias("marks")), "marks")
-    if refined is not None:
-        drop(refined)
-    drop(found)
+    marks = stage(repeats.select("doc_id", "fp", one).unionByName(known).groupBy("doc_id", "fp").agg(F.flatten(F.collect_list("marks")).alias("marks")), "marks")
+    drop(found, *rounds)
     return marks
 
 

@@ -79,6 +79,52 @@ def test_a_passage_in_every_document_is_dealt_and_found(spark, monkeypatch):
     assert len(hot) == 1 and 0 < len(hot[0]) < 100  # the borders of the passage, whose surroundings differ; its inside is settled before
 
 
+def staged_rows(monkeypatch):
+    """Rows of the tables that op3 stages, by name, as they are counted while they last."""
+    counts, stage = defaultdict(list), substring_dedup.stage
+
+    def counted(df, name):
+        out = stage(df, name)
+        counts[name].append(out.where("gram is not null").count() if "gram" in out.columns else out.count())
+        counts[f"all {name}"].append(out.count())
+        return out
+
+    monkeypatch.setattr(substring_dedup, "stage", counted)
+    return counts
+
+
+def test_rows_of_a_hot_bucket_go_with_its_pointers(spark, monkeypatch):
+    """A passage in surroundings that differ: its open windows go on as a few runs a pointer, not as a row a window."""
+    dice = random.Random(4)
+    letters = lambda n: "".join(dice.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
+    passage = letters(24)
+    rows = [(k, letters(60) + passage + letters(60)) for k in range(200)] + [(300 + k, letters(30) + "common" + passage + " ending of this line") for k in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    monkeypatch.setattr(substring_dedup, "HOT", 20)
+    counts = staged_rows(monkeypatch)
+    assert Counter(map(tuple, remove_repeats(docs).collect())) == repeats(rows)
+    assert counts["refined"] and counts["contexts"][0] >= 100
+    assert all(n <= 4 * counts["contexts"][0] for n in counts["all refined"])
+
+
+def test_one_pointer_stands_for_copies_in_all_batches(spark, monkeypatch):
+    """Copies in many batches, and an early border that differs: one document sends the bytes of a content, the others none."""
+    dice = random.Random(6)
+    letters = lambda n: "".join(dice.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
+    text = letters(3000)
+    rows = [(k, text) for k in range(60)] + [(100, letters(20) + text[500:2500] + letters(20)), (101, text[:70])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(20)
+    counts = staged_rows(monkeypatch)
+    assert Counter(map(tuple, remove_repeats(docs).collect())) == repeats(rows)
+    assert 0 < counts["contexts"][0] < 30
+
+
+@pytest.mark.parametrize("busy", [1, 3])
+def test_repeats_where_contents_are_spread(docs, rows, monkeypatch, busy):
+    monkeypatch.setattr(substring_dedup, "BUSY", busy)
+    assert Counter(map(tuple, remove_repeats(docs).collect())) == repeats(rows)
+
+
 def shingles(text, k):
     words = [w for w in re.split("[ \t-\r]+", text.translate(LOWER)) if w]
     return frozenset(tuple(words[i : i + k]) for i in range(max(1, len(words) - k + 1))) if words else frozenset()
